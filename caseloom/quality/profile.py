@@ -41,7 +41,7 @@ def value_kind(value: Column, pattern: str) -> Column:
     return (
         F.when(value.isNull() | (inner == ""), MISSING)
         .when(~inner.rlike(f"^(?:{pattern})$") | inner.contains("\n"), MALFORMED)
-        .when(inner.cast("double") == 0, ZERO)
+        .when(inner.try_cast("double") == 0, ZERO)
         .otherwise(VALID)
     )
 
@@ -55,12 +55,16 @@ def chunk_table(df: DataFrame, fields: list[str], load_field: str) -> DataFrame:
     return paths.mapInPandas(read_chunks(fields, load_field), CHUNK_SCHEMA)
 
 
+def _not_valid(pattern: str):
+    return lambda v: value_kind(v, pattern) != VALID
+
+
 def decide_chunks(chunks: DataFrame, rules: Mapping[str, FieldRule]) -> DataFrame:
     """Adds ``decided``: whether the chunk's counts follow from its footer and dictionary alone."""
     suspicious = F.lit(False)
     wants = F.lit(False)
     for field, rule in rules.items():
-        odd = F.exists("distinct_values", lambda v, p=rule.pattern: value_kind(v, p) != VALID)
+        odd = F.exists("distinct_values", _not_valid(rule.pattern))
         suspicious = F.when(F.col("field") == field, odd).otherwise(suspicious)
         wants = F.when(F.col("field") == field, F.lit(rule.histogram)).otherwise(wants)
     known = F.col("load_value").isNotNull() & F.col("null_count").isNotNull() & F.col("all_dictionary")
@@ -123,7 +127,7 @@ def load_medians(counts: DataFrame, fields: list[str]) -> DataFrame:
     Level one ranks buckets of HISTOGRAM_WIDTH values; level two ranks values inside the one or two buckets that hold the
     middle ranks. No task ever holds more than one load's buckets or one bucket's values.
     """
-    values = counts.filter((F.col("kind") == VALID) & F.col("field").isin(fields)).select("load_value", "field", F.col("value").cast("long").alias("v"), "n").withColumn("bucket", F.floor(F.col("v") / HISTOGRAM_WIDTH))
+    values = counts.filter((F.col("kind") == VALID) & F.col("field").isin(fields)).select("load_value", "field", F.col("value").try_cast("long").alias("v"), "n").withColumn("bucket", F.floor(F.col("v") / HISTOGRAM_WIDTH))
     values = values.groupBy("load_value", "field", "bucket", "v").agg(F.sum("n").alias("n"))
     over = Window.partitionBy("load_value", "field")
     buckets = (
@@ -157,7 +161,7 @@ def _with_previous(table: DataFrame, loads: DataFrame, columns: list[str]) -> Da
 
 def column_profile(counts: DataFrame, loads: DataFrame, rules: Mapping[str, FieldRule]) -> DataFrame:
     """One row per (load, field): rates, exact distinct values, range and median."""
-    number = F.when(F.col("kind").isin(VALID, ZERO), F.col("value").cast("long"))
+    number = F.when(F.col("kind").isin(VALID, ZERO), F.col("value").try_cast("long"))
     shape = counts.groupBy("load_value", "field").agg(F.countDistinct("value").alias("distinct_values"), F.min(number).alias("min_value"), F.max(number).alias("max_value"))
     shares = load_shares(counts)
     medians = load_medians(counts, [f for f, r in rules.items() if r.histogram])
