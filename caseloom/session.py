@@ -34,6 +34,7 @@ def build_session(app_name: str = "caseloom", master: str | None = None, shuffle
 
 def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    ship_package(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
@@ -71,7 +72,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def ship_package(spark: SparkSession) -> None:
     """Give executors this package's modules (Python workers import them by name); done once per application."""
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or getattr(context, "_caseloom_shipped", False):
+    if getattr(context, "_caseloom_shipped", False):
         return
     archive = Path(tempfile.mkdtemp(prefix="caseloom-zip-")) / "caseloom.zip"
     with zipfile.ZipFile(archive, "w") as bundle:
