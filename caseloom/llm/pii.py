@@ -1,0 +1,330 @@
+"""Personal information inside free text: finding it, and replacing it by typed, format-preserving pseudonyms.
+
+Mentions are found by kind: telephone numbers, mail addresses (also disguised ones), street addresses (house number with
+street, post boxes, rural routes), identity numbers (behind a word that says what they are) and names (given and family name,
+or a family name behind a title). Values are validated: a telephone number has an area code, an identity number the shape its
+kind allows, a house number a street word behind it; names of roads, firms and vehicles are told from persons by what follows.
+
+Each mention is replaced by ``[KIND value]``. Digits are permuted by a keyed Feistel network over the digits of the *normalised*
+value and written back into its own format, so that the same number gets the same pseudonym in every document however it was
+punctuated, and the permutation can be undone with the key. Words are replaced by a keyed code of the same normalised text.
+
+Defined results: null text has no mentions and stays null; empty text stays empty; mentions never overlap (mail addresses
+go before numbers, numbers before addresses, addresses before names); ``[XXX]`` is left alone; positions count characters from
+1 in the untouched text; the text is searched whole, whatever its length.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from datetime import date
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+NAME, PHONE, EMAIL, ADDRESS, IDENTITY = "name", "phone", "email", "street_address", "id_number"
+MENTION_SCHEMA = "array<struct<kind: string, start_pos: int, stop_pos: int>>"
+
+# Common given names that are not also everyday words of vehicle narratives.
+GIVEN_NAMES = (
+    "aaron adam ahmed aisha alan albert alejandro alex alexander alice amanda amy ana ana-maría ana-maria andrea andrew angela ann anna anthony "
+    "antonio arthur ashley barbara benjamin beth betty brandon brenda brian carl carlos carol carolyn catherine charles chase cheryl "
+    "christina christine christopher curtis cynthia dale daniel david deborah debra denise dennis diana diane dmitri donald donna dorothy douglas edward elena "
+    "elizabeth emily emma eric ethan eugene evelyn faith fatima frances gary george gerald gloria grace grant gregory hannah harold heather "
+    "helen henry hiro inés ines ivan ivy jacob jacqueline james janet janice jason jeffrey jennifer jeremy jerry jessica joan johnny john jonathan jose josé "
+    "joseph joshua joyce juan judith judy julia julie justin karen katherine kathleen keith kelly kenneth kevin kimberly kyle larry laura latoya lauren "
+    "lawrence linda lisa luis margaret maria maría marie marilyn mark martha mary matthew megan melissa michael michelle mohammed monica nancy "
+    "natalie nicholas nicole noah olga olivia omar pamela patricia patrick paul peter philip priya rachel ralph raymond rebecca richard robert roger ronald rose "
+    "russell ruth ryan samantha samuel sandra sara sarah scott sergei sharon shirley sophia stephanie stephen steven susan teresa terry theresa "
+    "thomas timothy tyler victoria vincent virginia walter wayne wei william yolanda yusuf zoe zoë"
+)
+
+# Street words, and words behind which no family name stands.
+STREET_WORDS = (
+    "street st road rd avenue ave boulevard blvd drive dr lane ln court ct way parkway pkwy terrace ter circle cir trail trl place pl highway hwy square sq "
+    "loop alley crescent cres path row run pike turnpike expressway"
+)
+STREETS_BEFORE = "avenida calle camino paseo via rue"
+FIRM_WORDS = (
+    "motors motor auto autos automotive garage tires tire service services center centre group shop body brothers bros sons company co corp corporation inc llc ltd dealer "
+    "dealership toyota ford works repair collision towing county city town hill mill falls springs heights plaza mall school church bank hospital clinic "
+    "apt apartment suite ste unit exit box"
+)
+COMMON_WORDS = (
+    "a about after again all also am an and any are as asked at back be because been before behind being but by call called came can could did do does drove "
+    "for from gave get got had has have he her him his how i if in into is it its just last left like me mr mrs ms my near need new no not now of off on or our out over "
+    "owns please recall said saw says she since so soon spoke still than thank thanks that the their them then there they this to told too took towed until up us was we went were what when "
+    "where which while who will with without would write yes you your told tried two stored happened home mail best number phone cell tel ph contact reach photos sent reference owner registered "
+    "license passport ssn dl invoice works lives reported complained stated drives drove fixed knows wrote answered hung phoned emailed sister husband wife father mother friend neighbor"
+)
+
+_WORD = r"[^\W\d_]"
+_EMAIL = re.compile(
+    r"(?<![\w.+%'-])[A-Za-z0-9][\w.+%'-]*(?:\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?|\sat\s(?=[A-Za-z0-9-]+(?:\s?[(\[{]\s?dot|\sdot\s)))"
+    r"[A-Za-z0-9-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[A-Za-z0-9-]+)+",
+    re.I,
+)
+_WORDS = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
+_LINE_NUMBER = re.compile(r"\d{3}[-. ]?\d{4}(?!\w)")
+_PHONE = re.compile(r"(?<![\w-])(?<![\d][./-])(?:\+?\d{1,2}[-. ]?)?(?:\(\d{3}\)\s?|\d{3}[-. /]?)\d{3}[-. ]?\d{4}(?![\w]|-\d)")
+_ID_CUE = re.compile(
+    r"(?P<ssn>\bs\.?s\.?n\b|\bsoc(?:ial)?\.?\s*sec(?:urity)?\b|\bmy\s+social\b|\bsocial\s+insurance\b)"
+    r"|(?P<dl>\bd\.?l\.?(?=\s*(?:#|no\b|num|:|[A-Za-z]\d))|\bdriver'?’?s?'?’?\s*licen[cs]es?\b|\blicen[cs]e\s+(?:number|no\.?)\s*\(driver\)|\bdriving\s+licen[cs]e\b)"
+    r"|(?P<pp>\bpassport\b)",
+    re.I,
+)
+_ID_GAP = r"(?:[\s:#.,()=-]|\b(?:no|num|number|nr|is|was|which|it|driver|the|my|of|card)\b){0,12}"
+_ID_VALUE = {
+    "ssn": re.compile(_ID_GAP + r"(?P<v>\d{3}[-. ]?\d{2}[-. ]?\d{4})(?!\d)", re.I),
+    "dl": re.compile(_ID_GAP + r"(?P<v>[A-Za-z]{1,2}[- ]?\d{3}[- ]\d{4}[- ]\d{4}|[A-Za-z]{1,2}\d{6,13}|\d{7,12})(?!\w)", re.I),
+    "pp": re.compile(_ID_GAP + r"(?P<v>[A-Za-z]{1,2}\d{6,9}|\d{9})(?!\w)", re.I),
+}
+_BARE_SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
+_STREET = "|".join(sorted(STREET_WORDS.split(), key=len, reverse=True))
+_HOUSE = r"(?<![\w.,$#/-])\d{1,6}(?:[A-Za-z](?![A-Za-z])|\s?-\s?[A-Za-z](?!\w)|\s?½|\s1/2)?"
+_ADDRESS = re.compile(
+    _HOUSE + r"\s+(?:"
+    + r"(?P<pre>(?:(?:n|s|e|w|ne|nw|se|sw|north|south|east|west)\.?\s+)?)(?P<mid>(?:(?:st\.\s+|" + _WORD + r"[\w'’-]*\s+|\d{1,3}(?:st|nd|rd|th)\s+){1,3}?))(?P<suf>" + _STREET + r")(?!\w)"
+    + r"|(?:" + "|".join(STREETS_BEFORE.split()) + r")\s+(?:de\s+la\s+|del\s+|de\s+|los\s+|las\s+)?" + _WORD + r"+)",
+    re.I,
+)
+_BOX = re.compile(r"\b(?:p\.?\s?o\.?\s?box|post\s+office\s+box)\s+#?\d+|\b(?:rural\s+route|r\.?\s?r\.?|hc|highway\s+contract)\s*#?\d+,?\s+box\s+\d+[a-z]?\b", re.I)
+_NAME_WORD = r"(?:[OoDd]['’`])?" + _WORD + r"{2,}(?:['’`]" + _WORD + r"+)?(?:-(?:[OoDd]['’`])?" + _WORD + r"+)*"
+_TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+_AFTER_GIVEN = re.compile(r"\s+(?:(?P<mid>" + _WORD + r")\.?\s+)?(?P<fam>" + _NAME_WORD + r")")
+_BEFORE_GIVEN = re.compile(r"(?P<fam>" + _NAME_WORD + r")\s*,\s*$")
+_TITLE = re.compile(r"\b(?P<t>mr|mrs|ms|dr|miss|prof|sir|madam)\b\.?\s+(?P<fam>" + _NAME_WORD + r")", re.I)
+_TITLE_BEFORE = re.compile(r"(?:^|[,:;(\n*!?-]|\b(?:for|to|called|with|by|from|and|told|saw|asked|named|is|was|doctor|adviser|advisor|manager|mechanic|owner|or|that|when|the|a|of|met))\s*$", re.I)
+_OWNER_CUE = re.compile(r"(?:owner|name|customer|client|driver|registered to|signed)\s*[:,-]?\s*$", re.I)
+
+_GIVEN = frozenset(GIVEN_NAMES.split())
+_STOP = frozenset(COMMON_WORDS.split())
+_NOT_FAMILY = _STOP | frozenset(STREET_WORDS.split()) | frozenset(FIRM_WORDS.split())
+_PLACE_NEXT = frozenset(STREET_WORDS.split()) | frozenset("motors motor auto autos automotive garage tires service services center centre group shop body brothers bros company corp inc llc ltd towing repair".split())
+_TITLES = frozenset("mr mrs ms dr miss prof sir madam".split())
+_ID_WORDS = frozenset("ssn soc social passport dl d s license licence licenses licences".split())
+_STREET_SET = frozenset(STREET_WORDS.split()) | frozenset(STREETS_BEFORE.split())
+_NEXT_WORD = re.compile(r"[^\W\d_.;,!?*\n]*[ \t-]+([^\W\d_]+)")
+_UNSUITED = re.compile(r"\b(?:miles?|months?|weeks?|days?|hours?|years?|times?|on|of|at|in|the|and|from|to|near|mph|for|was|is|were|we|i|my|it|a|an|with|by|after|before|until|when|while|or)\b", re.I)
+
+
+def _name_style(text: str, a: int, c: int) -> bool:
+    """Both words of a name are written alike: capitalised each, or the text does not tell by case."""
+    return text[a].isupper() == text[c].isupper() or text[c : c + 2] in ("o'", "d'")
+
+
+def _find_given(text: str, found: list[tuple[str, int, int]], free) -> None:
+    """Names with a known given name: family name behind it, or before it and a comma where a word says who is meant."""
+    for m in _TOKEN.finditer(text):
+        word = m[0].lower()
+        if word not in _GIVEN:
+            word = word.split("-", 1)[0]
+            if word not in _GIVEN:
+                continue
+        a, b = m.start(), m.start() + len(word)
+        if text[b : b + 1] == "'" or not free(a, b):
+            continue
+        after = _AFTER_GIVEN.match(text, b)
+        if after:
+            c, d = after.span("fam")
+            following = _NEXT_WORD.match(text, d)
+            placed = following and following[1].lower() in _PLACE_NEXT
+            if text[c:d].lower() not in _NOT_FAMILY and not placed and _name_style(text, a, c) and free(a, d):
+                found.append((NAME, a, d))
+                continue
+        before = _BEFORE_GIVEN.search(text, max(0, a - 60), a)
+        if before:
+            c = before.start("fam")
+            family = before["fam"].lower()
+            if family not in _NOT_FAMILY and family not in _GIVEN and free(c, b) and _OWNER_CUE.search(text, max(0, c - 20), c):
+                found.append((NAME, c, b))
+
+
+def find_mentions(text: str | None) -> list[tuple[str, int, int]]:
+    """Mentions (kind, start, stop) of a text, by place; start counts from 0 and stop is exclusive."""
+    if not text:
+        return []
+    found: list[tuple[str, int, int]] = []
+
+    def free(a: int, b: int) -> bool:
+        return all(b <= x or a >= y for _, x, y in found)
+
+    low = text.lower()
+    words = frozenset(_WORDS.findall(low))
+    if "@" in low or "(at" in low or "[at" in low or "dot" in words:
+        for m in _EMAIL.finditer(text):
+            found.append((EMAIL, *m.span()))
+    if not words.isdisjoint(_ID_WORDS):
+        for cue in _ID_CUE.finditer(text):
+            m = _ID_VALUE[cue.lastgroup].match(text, cue.end())
+            if m and free(m.start("v"), m.end("v")):
+                found.append((IDENTITY, m.start("v"), m.end("v")))
+    if _DIGIT.search(text):
+        for m in _BARE_SSN.finditer(text):
+            if free(*m.span()):
+                found.append((IDENTITY, *m.span()))
+        if _LINE_NUMBER.search(text):
+            for m in _PHONE.finditer(text):
+                if free(*m.span()) and valid_phone(m[0]):
+                    found.append((PHONE, *m.span()))
+        if "box" in words:
+            for m in _BOX.finditer(text):
+                if free(*m.span()):
+                    found.append((ADDRESS, *m.span()))
+        if not words.isdisjoint(_STREET_SET):
+            at = 0
+            while m := _ADDRESS.search(text, at):
+                at = m.end()
+                middle = m["mid"]
+                if middle is not None and _UNSUITED.search(middle):
+                    at = m.start() + 1
+                    while at < len(text) and text[at].isdigit():
+                        at += 1
+                    continue
+                if free(*m.span()):
+                    found.append((ADDRESS, *m.span()))
+    if not words.isdisjoint(_GIVEN):
+        _find_given(text, found, free)
+    if words.isdisjoint(_TITLES):
+        return sorted(found, key=lambda x: x[1])
+    for m in _TITLE.finditer(text):
+        a, b = m.span("fam")
+        if m["fam"].lower() in _NOT_FAMILY or not free(a, b):
+            continue
+        if m["t"].lower() == "dr" and not _TITLE_BEFORE.search(text, max(0, m.start() - 30), m.start()):
+            continue
+        found.append((NAME, a, b))
+    return sorted(found, key=lambda x: x[1])
+
+
+def valid_phone(written: str) -> bool:
+    """Ten digits of area, exchange and line, or eleven that begin with a country code; no area code begins with 0 or 1."""
+    digits = re.sub(r"\D", "", written)
+    local = digits[-10:]
+    return len(digits) <= 12 and local[0] not in "01" and len(set(local)) > 1
+
+
+def mentions_column(text: Column) -> Column:
+    """The mentions of a text column; equal texts of a batch are searched once."""
+
+    @F.pandas_udf(MENTION_SCHEMA)
+    def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            codes, values = pd.factorize(series)
+            rows = [[{"kind": k, "start_pos": a + 1, "stop_pos": b + 1} for k, a, b in find_mentions(v)] for v in values]
+            rows.append([])
+            yield pd.Series([rows[c] for c in codes], index=series.index, dtype=object)
+
+    return search(text)
+
+
+def mentions(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Distinct rows (key, kind, start_pos, stop_pos)."""
+    found = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), mentions_column(F.col(text)).alias("_m")).filter(F.size("_m") > 0)
+    return found.select(F.col("_key").alias(key), F.explode("_m").alias("m")).select(key, "m.*").distinct()
+
+
+# --- format-preserving pseudonyms ---
+
+
+def _round_value(key: bytes, tweak: bytes, number: int, modulus: int) -> int:
+    return int.from_bytes(hashlib.blake2b(number.to_bytes(16, "big") + tweak, key=key, digest_size=16).digest(), "big") % modulus
+
+
+def feistel_digits(digits: str, key: bytes, tweak: bytes = b"", rounds: int = 10, inverse: bool = False) -> str:
+    """A keyed permutation of the digit strings of this length (alternating Feistel over a left and a right part)."""
+    n = len(digits)
+    if n < 2:
+        return str((int(digits) + (-1 if inverse else 1) * _round_value(key, tweak, 0, 10)) % 10) if digits else ""
+    u, v = n // 2, n - n // 2
+    a, b = int(digits[:u]), int(digits[u:])
+    sizes = (10**u, 10**v)
+    tweak = tweak + n.to_bytes(2, "big")
+    for r in reversed(range(rounds)) if inverse else range(rounds):
+        turn = tweak + r.to_bytes(1, "big")
+        if r % 2 == 0:
+            step = _round_value(key, turn, b, sizes[0])
+            a = (a + (-step if inverse else step)) % sizes[0]
+        else:
+            step = _round_value(key, turn, a, sizes[1])
+            b = (b + (-step if inverse else step)) % sizes[1]
+    return f"{a:0{u}d}{b:0{v}d}"
+
+
+def permute_within(value: str, key: bytes, tweak: bytes, keep: int = 0, inverse: bool = False) -> str:
+    """Permutes the digits of a written value and puts them back into its format; the first ``keep`` digits stay."""
+    digits = [c for c in value if c.isascii() and c.isdigit()]
+    fresh = digits[:keep] + list(feistel_digits("".join(digits[keep:]), key, tweak, inverse=inverse))
+    pieces = iter(fresh)
+    return "".join(next(pieces) if c.isascii() and c.isdigit() else c for c in value)
+
+
+def permute_valid(value: str, key: bytes, tweak: bytes, valid, keep: int = 0) -> str:
+    """Cycle-walks the permutation until the value is valid in its format again, so that it stays one-to-one."""
+    fresh = permute_within(value, key, tweak, keep)
+    while not valid(fresh):
+        fresh = permute_within(fresh, key, tweak, keep)
+    return fresh
+
+
+def permute_date(value: date, key: bytes, first: date = date(1900, 1, 1), last: date = date(2099, 12, 31)) -> date:
+    """A keyed permutation of the days between first and last: cycle-walking over five-digit day numbers."""
+    span = (last - first).days + 1
+    width = len(str(span - 1))
+    n = (value - first).days
+    while True:
+        n = int(feistel_digits(f"{n:0{width}d}", key, b"date"))
+        if n < span:
+            return date.fromordinal(first.toordinal() + n)
+
+
+def code(value: str, key: bytes, kind: str) -> str:
+    """A keyed code of a word value, equal for equal normalised values."""
+    plain = re.sub(r"[\s.]+", " ", value.strip().lower())
+    return hashlib.blake2b(plain.encode(), key=key, person=kind.encode()[:16].ljust(16, b"\0"), digest_size=5).hexdigest()
+
+
+def pseudonym(kind: str, value: str, key: bytes) -> str:
+    """The typed placeholder of a mention."""
+    if kind == PHONE:
+        extra = len(re.sub(r"\D", "", value)) - 10
+        tail = permute_valid(value, key, b"phone", valid_phone, keep=max(0, extra))
+        return f"[PHONE {tail}]"
+    if kind == IDENTITY:
+        return f"[ID_NUMBER {permute_within(value, key, b'id')}]"
+    if kind == ADDRESS:
+        number = re.match(r"\d+", value)
+        return f"[STREET_ADDRESS {permute_within(number[0], key, b'house') + ' ' if number else ''}{code(value, key, kind)}]"
+    if kind == EMAIL:
+        plain = re.sub(r"\s*[(\[{]?\s*\bdot\b\s*[)\]}]?\s*", ".", re.sub(r"\s*(?:@|[(\[{]\s*at\s*[)\]}]|\bat\b)\s*", "@", value, count=1, flags=re.I), flags=re.I)
+        return f"[EMAIL {code(plain, key, kind)}]"
+    family_first = re.match(r"(.+?)\s*,\s*(.+)$", value)
+    return f"[NAME {code(f'{family_first[2]} {family_first[1]}' if family_first else value, key, kind)}]"
+
+
+def redact(text: str | None, key: bytes) -> str | None:
+    """The text with every mention replaced by its placeholder; everything else as it was."""
+    if not text:
+        return text
+    out, at = [], 0
+    for kind, a, b in find_mentions(text):
+        out += [text[at:a], pseudonym(kind, text[a:b], key)]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def redact_column(text: Column, key: bytes) -> Column:
+    """The redacted form of a text column."""
+
+    @F.pandas_udf("string")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            codes, values = pd.factorize(series)
+            done = [redact(v, key) for v in values] + [None]
+            yield pd.Series([done[c] for c in codes], index=series.index, dtype=object)
+
+    return run(text)

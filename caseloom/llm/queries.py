@@ -7,7 +7,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, survivor, terms
+from caseloom.llm import bpe, pii, survivor, terms
 from caseloom.operators.packed import known_values
 from caseloom.session import load_table, ship_package
 
@@ -16,6 +16,18 @@ SURVIVOR_PATTERNS = {"miles": "[0-9]{1,7}", "veh_speed": "[0-9]{1,3}", "yeartxt"
 SOURCE_TRUST: dict[str, float] = {}
 
 
+#: Key of the pseudonyms; give another one in production (the query's result does not depend on it, the redacted text does).
+PII_KEY = b"caseloom-demo-key"
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.mentions(load_table(spark, sf, "complaints"), "cmplid", "cdescr").select("cmplid", F.col("kind").alias("pii_kind"), "start_pos")
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return load_table(spark, sf, "complaints").select("cmplid", pii.redact_column(F.col("cdescr"), PII_KEY).alias("cdescr"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     counted, total = terms.term_frequencies(load_table(spark, sf, "complaints"), "cdescr")
     return terms.mark_terms(counted, total).filter("verdict <> 'usual'").select("term", "verdict")
@@ -47,7 +59,7 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return load_table(spark, sf, "documents").select("doc_id", bpe.encode_column(F.col("text"), bpe.vocabulary_path("byte_bpe_50k")).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_terms, p6_found, p6_survivors, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_terms, p6_found, p6_survivors, p8_ids)}
 
 _P4 = r"""
 WITH t AS (SELECT rid, unnest(regexp_extract_all(lower(cdescr), '[\p{L}\p{N}]{2,}')) AS term
