@@ -7,7 +7,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, pii, survivor, terms
+from caseloom.llm import bpe, packing, pii, reading, survivor, terms
 from caseloom.operators.packed import known_values
 from caseloom.session import load_table, ship_package
 
@@ -59,7 +59,29 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return load_table(spark, sf, "documents").select("doc_id", bpe.encode_column(F.col("text"), bpe.vocabulary_path("byte_bpe_50k")).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_terms, p6_found, p6_survivors, p8_ids)}
+def p9_packed(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack_texts(spark, load_table(spark, sf, "documents"), "doc_id", "text", load_table(spark, sf, "pack_specs"))
+    return packed.withColumn("doc_id", F.col("item_key").cast("long")).drop("item_key")
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    specs = load_table(spark, sf, "pack_specs")
+    return packing.packing_report(packing.pack_texts(spark, load_table(spark, sf, "documents"), "doc_id", "text", specs), specs)
+
+
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_levels(load_table(spark, sf, "documents"), "doc_id", "text", "lang", "en", load_table(spark, sf, "reading_labels"), "doc_id", "band")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _levels(spark, sf).select("doc_id", "band")
+
+
+def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return _levels(spark, sf)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_terms, p6_found, p6_survivors, p8_ids, p9_packed, p9_report, p10_found, p10_levels)}
 
 _P4 = r"""
 WITH t AS (SELECT rid, unnest(regexp_extract_all(lower(cdescr), '[\p{L}\p{N}]{2,}')) AS term
