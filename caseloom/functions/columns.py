@@ -51,9 +51,9 @@ def to_date(c: Column) -> Column:
     """A date written yyyyMMdd, yyyy-MM-dd or yyyy/MM/dd, else null."""
     t = strip(c)
     return F.coalesce(
-        F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, F.lit("yyyyMMdd"))),
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, F.lit("yyyy-MM-dd"))),
-        F.when(t.rlike(r"^\d{4}/\d{2}/\d{2}$"), F.try_to_date(t, F.lit("yyyy/MM/dd"))),
+        F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd")),
+        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")),
+        F.when(t.rlike(r"^\d{4}/\d{2}/\d{2}$"), F.try_to_date(t, "yyyy/MM/dd")),
     )
 
 

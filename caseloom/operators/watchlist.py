@@ -27,7 +27,7 @@ RISK_SEVERITY, RISK_CRITICAL, RISK_SPEED, STRONG_MATCH = 0.35, 0.25, 0.35, 0.45
 
 def explode_groups(cases: DataFrame, packed: str = "component_groups") -> DataFrame:
     """One row per component group of a pipe-joined text; blank places dropped."""
-    parts = F.filter(F.transform(F.split(F.coalesce(packed, F.lit("")), "[|]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(packed, F.lit("")), "[|]"), lambda x: F.trim(x)), lambda x: x != "")
     return cases.withColumn("component_group", F.explode(parts))
 
 
@@ -55,7 +55,7 @@ def complete_months(months: DataFrame, cohort: list[str], last_month: Column | N
     """
     last = months.agg((last_month if last_month is not None else F.max("month")).alias("_last"))
     spans = months.groupBy(*cohort).agg(F.min("month").alias("_first")).crossJoin(F.broadcast(last))
-    grid = spans.select(*cohort, F.explode(F.sequence("_first", "_last", F.expr("interval 1 month"))).cast("date").alias("month"))
+    grid = spans.select(*cohort, F.explode(F.sequence("_first", "_last", F.expr("interval 1 month"))).alias("month"))
     on, right, gone = same_keys(grid, months, ["month", *cohort])
     measures = [c for c in months.columns if c not in ("month", *cohort)]
     joined = grid.join(right, on, "left").drop(*gone)
@@ -150,7 +150,8 @@ def watchlist_views(series: DataFrame, cohort: list[str] | None = None) -> tuple
     cohort = cohort or COHORT
     monitor = series.filter((F.col("watchlist_group") == "defect_watchlist") & (F.col("complaints") >= COMPLAINTS_LEAST))
     watch = with_watch_reason(monitor.filter("emerging_signal_flag")).withColumn("signal_tier", tier(F.col("complaints"), F.col("growth_vs_6mo_avg"), F.col("new_or_reemerging_signal")))
-    risky = (F.col("severity_broad_rate") >= RISK_SEVERITY) | (F.col("critical_event_near_operation_rate") >= RISK_CRITICAL) | (F.col("high_speed_rate") >= RISK_SPEED)
+    limits = {"severity_broad_rate": RISK_SEVERITY, "critical_event_near_operation_rate": RISK_CRITICAL, "high_speed_rate": RISK_SPEED}
+    risky = reduce(lambda a, b: a | b, [F.col(c) >= least for c, least in limits.items() if c in series.columns])
     risk = with_monitor_reason(monitor.filter(~F.col("emerging_signal_flag") & risky))
     view = lambda df: with_month_rank(df, cohort).withColumn("yeartxt", format_year(F.col("yeartxt")))
     return view(watch), view(risk)

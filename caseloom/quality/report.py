@@ -14,14 +14,14 @@ EXAMPLES = 5
 def date_checks(c: str) -> list[Column]:
     v = blank_to_null(F.col(c))
     zero = v.isin(*ZERO_DATES)
-    bad = ~zero & (~v.rlike(r"^\d{8}$") | F.try_to_date(v, F.lit("yyyyMMdd")).isNull())
+    bad = ~zero & (~v.rlike(r"^\d{8}$") | F.try_to_date(v, "yyyyMMdd").isNull())
     return [F.count(v).alias(f"{c}__present"), F.count_if(zero).alias(f"{c}__zero"), F.count_if(bad).alias(f"{c}__invalid")]
 
 
 def date_examples(df: DataFrame, c: str) -> DataFrame:
     """The least EXAMPLES distinct invalid values of a date column."""
     v = blank_to_null(F.col(c))
-    bad = ~v.isin(*ZERO_DATES) & (~v.rlike(r"^\d{8}$") | F.try_to_date(v, F.lit("yyyyMMdd")).isNull())
+    bad = ~v.isin(*ZERO_DATES) & (~v.rlike(r"^\d{8}$") | F.try_to_date(v, "yyyyMMdd").isNull())
     return df.filter(bad).select(v.alias("example")).distinct().orderBy("example").limit(EXAMPLES)
 
 
