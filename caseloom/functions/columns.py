@@ -30,12 +30,13 @@ GROUP_PARENTS = {
 ERA_START = "2021-05-17"
 ERA_BEFORE, ERA_AFTER = "pre_2021_schema_change", "post_2021_schema_change"
 AGE_BUCKETS = ((0, "AGE_0"), (3, "AGE_1_3"), (7, "AGE_4_7"), (12, "AGE_8_12"), (200, "AGE_13_PLUS"))
+WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 PLACEHOLDERS = ("N/A", "NA", "NONE", "NO DESCRIPTION", "NO DESCRIPTION PROVIDED", "UNKNOWN", "UNK", "TEST", "TEST TEST")
 
 
 def strip(c: Column) -> Column:
-    """Without outer Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without outer Unicode white space; a character set is trimmed far faster than a pattern matches."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:

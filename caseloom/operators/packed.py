@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.session import ship_package
+from caseloom.session import ship_package, spread
 
 HARD = "|;~\t\n\r"
 ITEM_SCHEMA = "array<string>"
@@ -226,6 +226,6 @@ def packed_items(df: DataFrame, key: str, field: str, known: list[str], least: i
     """Rows (rec_key, pos_no, item_text) for each distinct (key, text) with at least ``least`` items."""
     ship_package(df.sparkSession)
     texts = df.select(F.col(key).cast("string").alias("rec_key"), F.col(field).alias("_text")).filter(F.col("_text").isNotNull())
-    split = texts.withColumn("_items", items_udf(known)("_text")).filter(F.size("_items") >= least)
+    split = spread(texts).withColumn("_items", items_udf(known)("_text")).filter(F.size("_items") >= least)
     rows = split.select("rec_key", F.posexplode("_items").alias("pos", "item_text"))
     return rows.select("rec_key", (F.col("pos") + 1).cast("int").alias("pos_no"), "item_text").distinct()

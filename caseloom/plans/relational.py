@@ -13,14 +13,14 @@ from caseloom.operators import cases as K
 from caseloom.operators import cleaning, evaluation, features, history, modeling, watchlist
 from caseloom.plans.relational_sql import SQL  # noqa: F401
 from caseloom.quality import report
-from caseloom.session import load_table
+from caseloom.session import load_table, spread
 
 AUDITED = ["source_era", "flag_year_out_of_range", "flag_speed_999", "flag_state_bad", "flag_vin_len_bad", "flag_date_order_bad", "flag_fail_pre_model", "miles_zero_flag", "faildate_trusted_flag", "severity_primary_flag", "severity_broad_flag"]
 PAIRS = [("train", "valid_2025", "2025-01-01", "2026-01-01"), ("train_core", "screen_2024", "2024-01-01", "2025-01-01"), ("dev_2020_2024", "select_2025", "2025-01-01", "2027-01-01")]
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.clean_complaints(load_table(spark, sf, "complaints"))
+    return cleaning.clean_complaints(spread(load_table(spark, sf, "complaints")))
 
 
 def _kept(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,29 +272,29 @@ def label_prevalence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_features(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load_table(spark, sf, "odi_severity_cases").select("odino", "cdescr", X.max_mph(F.col("cdescr")).alias("max_mph"), F.coalesce(F.col("cdescr").rlike(X.HIGHWAY), F.lit(False)).alias("highway_flag"), C.is_placeholder(F.col("cdescr")).alias("placeholder_flag"))
+    rows = spread(load_table(spark, sf, "odi_severity_cases")).select("odino", "cdescr", X.max_mph(F.col("cdescr")).alias("max_mph"), F.coalesce(F.col("cdescr").rlike(X.HIGHWAY), F.lit(False)).alias("highway_flag"), C.is_placeholder(F.col("cdescr")).alias("placeholder_flag"))
     return rows.drop("cdescr")
 
 
 def context_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return X.context_flags(load_table(spark, sf, "odi_severity_cases").select("odino", "cdescr"), "cdescr").drop("cdescr")
+    return X.context_flags(spread(load_table(spark, sf, "odi_severity_cases")).select("odino", "cdescr"), "cdescr").drop("cdescr")
 
 
 def topic_text(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = load_table(spark, sf, "odi_severity_cases").select("odino", X.remove_identifiers(X.clean_for_topics(F.col("cdescr")), F.col("maketxt"), F.col("modeltxt"), F.col("yeartxt")).alias("topic_text"))
+    cleaned = spread(load_table(spark, sf, "odi_severity_cases")).select("odino", X.remove_identifiers(X.clean_for_topics(F.col("cdescr")), F.col("maketxt"), F.col("modeltxt"), F.col("yeartxt")).alias("topic_text"))
     return cleaned.withColumn("word_count", C.word_count(F.col("topic_text")))
 
 
 def severity_text(spark: SparkSession, sf: str) -> DataFrame:
-    return load_table(spark, sf, "odi_severity_cases").select("odino", X.severity_text(F.col("cdescr")).alias("model_text"))
+    return spread(load_table(spark, sf, "odi_severity_cases")).select("odino", X.severity_text(F.col("cdescr")).alias("model_text"))
 
 
 def personal_strip(spark: SparkSession, sf: str) -> DataFrame:
-    return load_table(spark, sf, "complaints").select("cmplid", F.md5(X.remove_personal(F.col("cdescr"))).alias("text_md5")).distinct()
+    return spread(load_table(spark, sf, "complaints")).select("cmplid", F.md5(X.remove_personal(F.col("cdescr"))).alias("text_md5")).distinct()
 
 
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load_table(spark, sf, "odi_severity_cases").filter("cdescr IS NOT NULL").select("odino", F.col("cdescr").alias("text"))
+    docs = spread(load_table(spark, sf, "odi_severity_cases")).filter("cdescr IS NOT NULL").select("odino", F.col("cdescr").alias("text"))
     weights = modeling.tfidf(docs, "odino", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0)), least_df=5, most_share=0.75)
     return weights.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum("weight"), 5).alias("total_weight"))
 

@@ -38,6 +38,15 @@ def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before work that is heavy per row, where the input has fewer splits than there are cores.
+
+    A large table has more splits than cores and passes through unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a private one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
