@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import bpe
-from caseloom.session import materialize, ship_package
+from caseloom.session import materialize, ship_package, spread
 
 ITEMS_PER_SHARD = 1500
 ISLANDS, EPOCHS, POPULATION, GENERATIONS, ELITE = 2, 2, 6, 30, 2
@@ -146,7 +146,7 @@ def _epoch(epoch: int, keep: int):
 def text_sizes(df: DataFrame, key: str, text: str, tokenizers: list[str], folder: str = bpe.TOKENIZER_FOLDER) -> DataFrame:
     """(tokenizer_name, key, n_tokens) of every text that is not null."""
     parts = []
-    texts = df.filter(F.col(text).isNotNull())
+    texts = spread(df.filter(F.col(text).isNotNull()).select(key, text))
     for name in tokenizers:
         size = _piece_counts(F.col(text), f"{folder}/{name}.model") if name.startswith("piece") else bpe.count_column(F.col(text), bpe.vocabulary_path(name, folder))
         parts.append(texts.select(F.lit(name).alias("tokenizer_name"), F.col(key).cast("string").alias("item_key"), size.alias("n_tokens")))

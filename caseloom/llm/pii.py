@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.session import spread
+
 NAME, PHONE, EMAIL, ADDRESS, IDENTITY = "name", "phone", "email", "street_address", "id_number"
 MENTION_SCHEMA = "array<struct<kind: string, start_pos: int, stop_pos: int>>"
 
@@ -224,7 +226,8 @@ def mentions_column(text: Column) -> Column:
 
 def mentions(df: DataFrame, key: str, text: str) -> DataFrame:
     """Distinct rows (key, kind, start_pos, stop_pos)."""
-    found = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), mentions_column(F.col(text)).alias("_m")).filter(F.size("_m") > 0)
+    texts = spread(df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text")))
+    found = texts.select("_key", mentions_column(F.col("_text")).alias("_m")).filter(F.size("_m") > 0)
     return found.select(F.col("_key").alias(key), F.explode("_m").alias("m")).select(key, "m.*").distinct()
 
 

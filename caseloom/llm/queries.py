@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm import bpe, packing, pii, reading, survivor, terms
 from caseloom.operators.packed import known_values
-from caseloom.session import load_table, ship_package
+from caseloom.session import load_table, ship_package, spread
 
 SURVIVOR_PATTERNS = {"miles": "[0-9]{1,7}", "veh_speed": "[0-9]{1,3}", "yeartxt": "[0-9]{4}", "deaths": "[0-9]{1,2}", "injured": "[0-9]{1,2}"}
 #: Trust in the loads of complaints; loads not named here have trust 1.
@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return load_table(spark, sf, "complaints").select("cmplid", pii.redact_column(F.col("cdescr"), PII_KEY).alias("cdescr"))
+    return spread(load_table(spark, sf, "complaints").select("cmplid", "cdescr")).select("cmplid", pii.redact_column(F.col("cdescr"), PII_KEY).alias("cdescr"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +56,7 @@ def p6_survivors(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
-    return load_table(spark, sf, "documents").select("doc_id", bpe.encode_column(F.col("text"), bpe.vocabulary_path("byte_bpe_50k")).alias("ids"))
+    return spread(load_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", bpe.encode_column(F.col("text"), bpe.vocabulary_path("byte_bpe_50k")).alias("ids"))
 
 
 def p9_packed(spark: SparkSession, sf: str) -> DataFrame:

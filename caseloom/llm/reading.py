@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.session import materialize, ship_package
+from caseloom.session import materialize, ship_package, spread
 
 BANDS = ("plain", "middle", "demanding")
 GRADE = {"plain": 0.0, "middle": 0.5, "demanding": 1.0}
@@ -170,7 +170,7 @@ def reading_levels(df: DataFrame, key: str, text: str, language: str, wanted: st
     """(key, difficulty, band) of every document to rate."""
     spark = df.sparkSession
     ship_package(spark)
-    docs = df.filter((F.col(language) == wanted) & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = spread(df.filter((F.col(language) == wanted) & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")))
     grades = graded(labels, label_key, band).select(F.col(label_key).cast("long").alias("doc"), "grade")
     bags = materialize(document_words(docs, "doc", "text", least_words).join(grades, "doc", "left"), "reading-graph")
     idf, _ = inverse_frequencies(bags)

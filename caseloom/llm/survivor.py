@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.operators.packed import items_udf
-from caseloom.session import materialize, ship_package
+from caseloom.session import materialize, ship_package, spread
 
 HALF_LIFE_DAYS = 365.0
 VIOLATION_WEIGHT = 0.01
@@ -44,7 +44,7 @@ def component_list(compdesc: Column, known: list[str]) -> Column:
 def with_group(df: DataFrame, number: str, components: str, known: list[str]) -> DataFrame:
     """Adds ``_group``: null for records that cannot be grouped."""
     ship_package(df.sparkSession)
-    return df.withColumns({"_num": complaint_number(F.col(number)), "_parts": component_list(F.col(components), known)}).withColumn("_group", F.concat_ws("\u001e", "_num", "_parts")).withColumn("_group", F.when(F.col("_num").isNotNull() & F.col("_parts").isNotNull(), F.col("_group"))).drop("_num", "_parts")
+    return spread(df).withColumns({"_num": complaint_number(F.col(number)), "_parts": component_list(F.col(components), known)}).withColumn("_group", F.concat_ws("\u001e", "_num", "_parts")).withColumn("_group", F.when(F.col("_num").isNotNull() & F.col("_parts").isNotNull(), F.col("_group"))).drop("_num", "_parts")
 
 
 def normalised(field: str, value: Column, patterns: Mapping[str, str], numbers: tuple[str, ...]) -> Column:

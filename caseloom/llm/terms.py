@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.session import default_parallelism, materialize, ship_package
+from caseloom.session import default_parallelism, materialize, ship_package, spread
 
 NOT_TERM = r"[^\p{L}\p{N}]+"
 BUFFER_PAIRS = 2_000_000  # pairs sorted at once in a task; about 100 MB with the terms
@@ -115,7 +115,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_frequencies(df: DataFrame, text: str) -> tuple[DataFrame, int]:
     """(term, occurrences, records) for every distinct term, and the number of records (texts that are not null)."""
     ship_package(df.sparkSession)
-    runs = materialize(df.select(F.lower(F.col(text)).alias("text")).mapInArrow(generate_runs, RUN_SCHEMA), "term-runs")
+    runs = materialize(spread(df.select(F.lower(F.col(text)).alias("text"))).mapInArrow(generate_runs, RUN_SCHEMA), "term-runs")
     total = runs.filter("term IS NULL").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     ordered = runs.filter("term IS NOT NULL").repartitionByRange(default_parallelism(df.sparkSession), "term").sortWithinPartitions("term")
     return ordered.mapInArrow(merge_runs, RUN_SCHEMA), total
