@@ -211,7 +211,7 @@ def items_udf(known: list[str]):
         for series in texts:
             yield series.map(lambda t: split(t) if t is not None else [])
 
-    return split_items
+    return split_items.asNondeterministic()  # else a filter on the items is pushed below and splits every text again
 
 
 def known_values(labels: DataFrame, columns: list[str], most: int = 20_000) -> list[str]:
