@@ -221,7 +221,7 @@ def mentions_column(text: Column) -> Column:
             rows.append([])
             yield pd.Series([rows[c] for c in codes], index=series.index, dtype=object)
 
-    return search(text)
+    return search.asNondeterministic()(text)  # else a filter on the result is pushed below and searches every text again
 
 
 def mentions(df: DataFrame, key: str, text: str) -> DataFrame:
