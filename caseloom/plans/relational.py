@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import columns as C
 from caseloom.functions import text as X
 from caseloom.operators import cases as K
-from caseloom.operators import cleaning, evaluation, features, history, modeling, watchlist
+from caseloom.operators import cleaning, evaluation, features, history, modeling, reports, selection, watchlist
 from caseloom.plans.relational_sql import SQL  # noqa: F401
 from caseloom.quality import report
 from caseloom.session import load_table, spread
@@ -319,6 +319,62 @@ def severity_model(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.score_summary(scored, "score", "truth", ["split"]).join(ap, "split").join(auc, "split")
 
 
+# --- reports and selection ---
+
+
+def topic_mix(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["topic_id", "maketxt"]
+    return reports.topic_mix(watchlist.cohort_months(_topic_rows(spark, sf), keys))
+
+
+def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["maketxt", "component_group"]
+    months = watchlist.cohort_months(_topic_rows(spark, sf), keys).withColumn("score", F.col("complaints") + F.col("unique_states"))
+    return reports.leaderboard(months, "score", 12, tuple(keys)).select("month", *keys, "complaints", "score")
+
+
+def label_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.label_shares(_labels(spark, sf), "truth")
+
+
+def share_shift(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load_table(spark, sf, "odi_severity_cases").filter("state IS NOT NULL")
+    cut = F.lit("2024-01-01").cast("date")
+    return reports.share_shift(rows.filter(F.col("ldate") < cut), rows.filter(F.col("ldate") >= cut), "state")
+
+
+def urgency_bands(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reports.urgency_bands(_scores(spark, sf), "score", "truth", "odino", ["yr"])
+    return rows.groupBy("yr", "band").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("truth").alias("severe"), F.round(F.max("percent_rank"), 6).alias("last_place"))
+
+
+def threshold_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Decoding a stand-in score: a label's share of its case's text."""
+    rows = _labels(spark, sf).select(F.array_distinct("labels").alias("all"), "truth")
+    scored = rows.select(F.array("truth").alias("truth"), F.col("all").alias("names"), F.transform("all", lambda x: F.length(x) / 40).alias("scores"))
+    return selection.threshold_grid(scored, "scores", "names", "truth", [0.2, 0.3, 0.4])
+
+
+def latest_case_per_make(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load_table(spark, sf, "odi_severity_cases").filter("ldate IS NOT NULL").select("maketxt", "odino", "ldate")
+    return reports.first_per_group(rows, ["maketxt"], [F.col("ldate").desc(), F.col("odino")]).withColumn("ldate", F.to_date("ldate"))
+
+
+def set_operations(spark: SparkSession, sf: str) -> DataFrame:
+    """Models seen before 2024 only, since then only, and in both."""
+    rows = load_table(spark, sf, "odi_severity_cases").filter("modeltxt IS NOT NULL AND ldate IS NOT NULL")
+    cut = F.lit("2024-01-01").cast("date")
+    before, since = rows.filter(F.col("ldate") < cut).select("modeltxt"), rows.filter(F.col("ldate") >= cut).select("modeltxt")
+    parts = (("before", before.subtract(since)), ("since", since.subtract(before)), ("both", before.intersect(since)))
+    out = [df.select(F.lit(name).alias("part"), "modeltxt") for name, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def event_properties(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load_table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").try_cast("int"))
+    return rows.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("sum_k"), F.countDistinct("user_id").alias("users"))
+
+
 def _dates_as_text(f):
     """Dates leave a query as ISO text, so that any client reads them alike."""
 
@@ -337,5 +393,6 @@ QUERIES = {
         group_presence, prior_history, age_and_region, split_summary, quality_checks, duplicate_rows, column_audit, outlier_profile, null_rates, lag_bands, month_mix, yearly_rates, cohort_growth,
         emerging_watchlist, risk_monitor, watchlist_summary, recurring_signals, global_topic_month, signal_flow, clue_terms, review_budgets, average_precision, roc_auc, score_summary, reliability,
         calibration, class_report, confusion, multilabel_metrics, label_prevalence, text_features, context_flags, topic_text, severity_text, personal_strip, tfidf_terms, topics, severity_model,
+        topic_mix, leaderboard, label_shares, share_shift, urgency_bands, threshold_grid, latest_case_per_make, set_operations, event_properties,
     )
 }

@@ -227,9 +227,22 @@ nm AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY odino)) AS u FROM w) SEL
 }
 SQL["multilabel_metrics"] = SQL["multilabel_metrics"].replace(", x AS (SELECT unnest(t) AS c, 1 AS t, 0 AS p, list_contains(p, unnest(t))::INT AS h FROM g)", "")
 
+_MAKES = _TOPIC.replace("maketxt, modeltxt, yeartxt, state,", "maketxt, state,", 1)
+SQL |= {
+    "topic_mix": _MAKES + "SELECT topic_id, sum(n)::BIGINT AS complaints, count(*) AS cohorts FROM (SELECT topic_id, maketxt, count(DISTINCT odino) AS n FROM tr WHERE month = (SELECT max(month) FROM tr) GROUP BY ALL) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "leaderboard": _MAKES + "SELECT month, maketxt, component_group, count(DISTINCT odino) AS complaints, count(DISTINCT odino) + count(DISTINCT state) AS score FROM tr WHERE month = (SELECT max(month) FROM tr) GROUP BY ALL ORDER BY score DESC, complaints DESC, maketxt NULLS LAST, component_group LIMIT 12",
+    "label_shares": _LABELS + ", c AS (SELECT truth, count(*) AS n_rows FROM z GROUP BY 1) SELECT truth, n_rows, round(n_rows / sum(n_rows) OVER (), 6) AS share, round(sum(n_rows) OVER (ORDER BY n_rows DESC, truth ROWS UNBOUNDED PRECEDING) / sum(n_rows) OVER (), 6) AS cumulative_share FROM c",
+    "share_shift": "WITH b AS (SELECT state, count(*) / sum(count(*)) OVER () AS s FROM odi_severity_cases WHERE state IS NOT NULL AND ldate < DATE '2024-01-01' GROUP BY 1), a AS (SELECT state, count(*) / sum(count(*)) OVER () AS s FROM odi_severity_cases WHERE state IS NOT NULL AND ldate >= DATE '2024-01-01' GROUP BY 1) SELECT coalesce(b.state, a.state) AS state, round(coalesce(b.s, 0), 6) AS before_share, round(coalesce(a.s, 0), 6) AS after_share, round(100 * (coalesce(a.s, 0) - b.s) / b.s, 6) AS share_percent_change FROM b FULL JOIN a ON a.state = b.state",
+    "urgency_bands": _SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY yr ORDER BY score DESC, odino) / count(*) OVER (PARTITION BY yr) AS pr FROM s) SELECT yr, CASE WHEN pr <= 0.01 THEN 'critical' WHEN pr <= 0.05 THEN 'high' WHEN pr <= 0.10 THEN 'elevated' ELSE 'routine' END AS band, count(*) AS n_rows, count(*) FILTER (truth) AS severe, round(max(pr), 6) AS last_place FROM r GROUP BY 1, 2",
+    "threshold_grid": _LABELS + ", g AS (SELECT row_number() OVER () AS i, truth, list_distinct(labels) AS l FROM z), t AS (SELECT unnest([0.2::DOUBLE, 0.3::DOUBLE, 0.4::DOUBLE]) AS threshold), p AS (SELECT threshold, i, truth, list_filter(l, lambda x: length(x) / 40::DOUBLE >= threshold) AS guess FROM g, t), x AS (SELECT threshold, truth AS c, 1 AS t, 0 AS p, list_contains(guess, truth)::INT AS h FROM p UNION ALL SELECT threshold, unnest(guess), 0, 1, 0 FROM p), k AS (SELECT threshold, c, sum(t) AS t, sum(p) AS p, sum(h) AS h FROM x GROUP BY 1, 2) SELECT threshold, round(2 * sum(h) / (sum(t) + sum(p)), 6) AS micro_f1, round(avg(2 * h / (t + p)), 6) AS macro_f1 FROM k GROUP BY 1",
+    "latest_case_per_make": "SELECT maketxt, odino, ldate::DATE AS ldate FROM odi_severity_cases WHERE ldate IS NOT NULL QUALIFY row_number() OVER (PARTITION BY maketxt ORDER BY ldate DESC, odino) = 1",
+    "set_operations": "WITH b AS (SELECT modeltxt FROM odi_severity_cases WHERE modeltxt IS NOT NULL AND ldate < DATE '2024-01-01'), s AS (SELECT modeltxt FROM odi_severity_cases WHERE modeltxt IS NOT NULL AND ldate >= DATE '2024-01-01') SELECT 'before' AS part, modeltxt FROM (SELECT * FROM b EXCEPT SELECT * FROM s) UNION ALL SELECT 'since', modeltxt FROM (SELECT * FROM s EXCEPT SELECT * FROM b) UNION ALL SELECT 'both', modeltxt FROM (SELECT * FROM b INTERSECT SELECT * FROM s)",
+    "event_properties": "SELECT event_type, ts::DATE AS day, count(*) AS n, sum(try_cast(json_extract_string(props, '$.k') AS INTEGER))::BIGINT AS sum_k, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
+}
 #: Date columns leave as ISO text.
 for _name, _columns in {
     "clean_rows": ("ldate", "faildate"), "multi_cases": ("ldate",), "best_texts": ("ldate",), "text_conflicts": ("first_date", "last_date"), "split_summary": ("first_date", "last_date"), "month_mix": ("month",),
     "cohort_growth": ("month",), "emerging_watchlist": ("month",), "risk_monitor": ("month",), "recurring_signals": ("first_month", "latest_month"), "global_topic_month": ("month",), "signal_flow": ("month",),
+    "leaderboard": ("month",), "latest_case_per_make": ("ldate",), "event_properties": ("day",),
 }.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _columns)}) FROM ({SQL[_name]}) AS dated"
