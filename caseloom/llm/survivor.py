@@ -34,9 +34,8 @@ def complaint_number(odino: Column) -> Column:
     return F.nullif(F.regexp_replace(digits, "^0+", ""), F.lit(""))
 
 
-def component_list(compdesc: Column, known: list[str]) -> Column:
-    """The list of components in a comparable form, null where there is none."""
-    items = items_udf(known)(compdesc)
+def component_list(items: Column) -> Column:
+    """A list of components in a comparable form, null where there is none."""
     folded = F.transform(items, lambda x: F.upper(F.trim(F.regexp_replace(F.regexp_replace(x, r"\s*:\s*", ":"), r"\s+", " "))))
     return F.when(F.size(items) > 0, F.array_join(folded, "\u001f"))
 
@@ -44,7 +43,8 @@ def component_list(compdesc: Column, known: list[str]) -> Column:
 def with_group(df: DataFrame, number: str, components: str, known: list[str]) -> DataFrame:
     """Adds ``_group``: null for records that cannot be grouped."""
     ship_package(df.sparkSession)
-    return spread(df).withColumns({"_num": complaint_number(F.col(number)), "_parts": component_list(F.col(components), known)}).withColumn("_group", F.concat_ws("\u001e", "_num", "_parts")).withColumn("_group", F.when(F.col("_num").isNotNull() & F.col("_parts").isNotNull(), F.col("_group"))).drop("_num", "_parts")
+    split = spread(df).withColumn("_items", items_udf(known)(F.col(components)))
+    return split.withColumns({"_num": complaint_number(F.col(number)), "_parts": component_list(F.col("_items"))}).drop("_items").withColumn("_group", F.concat_ws("\u001e", "_num", "_parts")).withColumn("_group", F.when(F.col("_num").isNotNull() & F.col("_parts").isNotNull(), F.col("_group"))).drop("_num", "_parts")
 
 
 def normalised(field: str, value: Column, patterns: Mapping[str, str], numbers: tuple[str, ...]) -> Column:
