@@ -115,7 +115,9 @@ _UNSUITED = re.compile(r"\b(?:miles?|months?|weeks?|days?|hours?|years?|times?|o
 
 
 def _name_style(text: str, a: int, c: int) -> bool:
-    """Both words of a name are written alike: capitalised each, or the text does not tell by case."""
+    """Both words of a name are written alike: capitalised each, or the text does not tell by case (it has no capitals)."""
+    if text[a].islower() and text != text.lower():
+        return False
     return text[a].isupper() == text[c].isupper() or text[c : c + 2] in ("o'", "d'")
 
 

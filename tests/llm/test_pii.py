@@ -44,6 +44,7 @@ CASES = [
     ("The invoice from Grant Road Autos was $65. Faith & Sons Body Shop. Martin Hill Tires.", []),
     ("I live at 3 Old Mill Dr. The car died.", [("street_address", "3 Old Mill Dr")]),
     ("Owner name [XXX], phone [XXX].", []),
+    ("The walter pump kept overheating.", []),
     ("", []),
 ]
 
