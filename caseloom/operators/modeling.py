@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from caseloom.session import materialize
 
 INFREQUENT = "__INFREQUENT__"
+VOCABULARY_MOST = 1_000_000  # terms a vocabulary may hold on the driver and in a broadcast; cut it in ``tfidf`` beyond that
 
 
 def word_grams(text: Column, stop: list[str] = (), two: bool = True) -> Column:
@@ -52,11 +53,19 @@ def tfidf(docs: DataFrame, key: str, terms: Column, least_df: int = 1, most_shar
     return weighted.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def bounded_vocabulary(weights: DataFrame) -> list[str]:
+    """The sorted terms; an error beyond VOCABULARY_MOST, nothing is dropped in silence."""
+    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").limit(VOCABULARY_MOST + 1).collect()]
+    if len(terms) > VOCABULARY_MOST:
+        raise ValueError(f"more than {VOCABULARY_MOST} terms; cut the vocabulary first")
+    return terms
+
+
 def term_vectors(weights: DataFrame, key: str, scale: float = 1.0) -> tuple[DataFrame, list[str]]:
     """Sparse vectors over the sorted vocabulary (its size is bounded by the cut in ``tfidf``)."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    vocabulary = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
+    vocabulary = bounded_vocabulary(weights)
     size = len(vocabulary)
     index = weights.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, term string") if vocabulary else None
     if index is None:
@@ -151,7 +160,7 @@ def nmf_topics(weights: DataFrame, key: str, topics: int, iterations: int = 30,
     topics x terms sums of a round pass through the driver. Returns (key, weights array), the term factor and the vocabulary.
     """
     spark = weights.sparkSession
-    vocabulary = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
+    vocabulary = bounded_vocabulary(weights)
     m = len(vocabulary)
     index = spark.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
     rows = materialize(weights.join(F.broadcast(index), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("cells")).select(key, F.col("cells.i").alias("idx"), F.col("cells.weight").alias("val")), "nmf-rows")
