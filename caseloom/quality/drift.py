@@ -197,6 +197,9 @@ def unified_columns(schemas: list[FileSchema], report: list[tuple]) -> dict[str,
                 column = known.get(name, name)  # a field that comes back takes up its old column
                 if column in taken and column in fresh.values():
                     column = name
+                number = 2
+                while any(c != column and c.lower() == column.lower() for c in taken) or column in fresh.values():
+                    column, number = f"{name}_{number}", number + 1  # names that differ by case only are told apart
             fresh[name] = known[name] = column
             taken.add(column)
             alias[(s.name, name)] = column

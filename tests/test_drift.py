@@ -40,6 +40,15 @@ def test_case_null_only_and_unreadable(spark):
     assert ("type_changed", "x") not in got and {k for k, _ in got} <= {"added", "removed", "renamed"}
 
 
+def test_names_that_differ_by_case_make_two_columns(spark):
+    df, order = feed(spark, [("a", [{"id": "1", "x": "p"}]), ("b", [{"id": "2", "X": 5, "line_no": 3}])])
+    _, schemas, report = drift.feed_drift(df, order, record_key="id")
+    columns = drift.unified_columns(schemas, report)
+    table = drift.unified_table(df, "payload", "source_file", ["source_file", "line_no"], columns)
+    assert len({c.lower() for c in table.columns}) == len(table.columns) and {"x", "X_2", "payload_line_no"} <= set(table.columns)
+    assert table.filter("source_file = 'b'").first()["X_2"] == 5
+
+
 def test_type_lattice():
     assert drift.join_types(None, drift.WHOLE) == drift.WHOLE
     assert drift.join_types(drift.WHOLE, drift.DECIMAL) == drift.DECIMAL
