@@ -144,7 +144,8 @@ def yearly_rates(spark: SparkSession, sf: str) -> DataFrame:
 def _topic_rows(spark: SparkSession, sf: str, coarse: bool = True) -> DataFrame:
     """Component rows with a stand-in topic: the number and kind follow from the component group.
 
-    Coarse rows leave model and year null, so that cohorts are makes and null keys are exercised.
+    Coarse rows leave model and year null, so that cohorts are makes and null keys are exercised. The SQL of emerging_watchlist,
+    risk_monitor, recurring_signals and signal_flow asks for these; their ``_full`` queries run over the whole cohort.
     """
     cases = load_table(spark, sf, "odi_component_multilabel_cases").filter("ldate IS NOT NULL")
     if coarse:
@@ -167,24 +168,24 @@ def cohort_growth(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("month", *watchlist.COHORT, "complaints", "unique_states", F.round("rolling_6mo_avg", 6).alias("rolling_6mo_avg"), F.round("growth_vs_6mo_avg", 6).alias("growth_vs_6mo_avg"), F.round("growth_delta_6mo", 6).alias("growth_delta_6mo"), "new_or_reemerging_signal", "emerging_signal_flag", F.round("watchlist_score", 6).alias("watchlist_score"))
 
 
-def emerging_watchlist(spark: SparkSession, sf: str) -> DataFrame:
-    watch, _ = watchlist.watchlist_views(_series(spark, sf))
+def emerging_watchlist(spark: SparkSession, sf: str, coarse: bool = True) -> DataFrame:
+    watch, _ = watchlist.watchlist_views(_series(spark, sf, coarse))
     return watch.select("month", "mfr_name", "maketxt", "modeltxt", "yeartxt", "component_group", "topic_id", "complaints", F.round("watchlist_score", 6).alias("watchlist_score"), "signal_tier", "watchlist_reason")
 
 
-def risk_monitor(spark: SparkSession, sf: str) -> DataFrame:
-    _, risk = watchlist.watchlist_views(_series(spark, sf))
+def risk_monitor(spark: SparkSession, sf: str, coarse: bool = True) -> DataFrame:
+    _, risk = watchlist.watchlist_views(_series(spark, sf, coarse))
     return risk.select("month", "maketxt", "modeltxt", "yeartxt", "component_group", "topic_id", "complaints", F.round("watchlist_score", 6).alias("watchlist_score"), "monitor_reason")
 
 
 def watchlist_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _topic_rows(spark, sf)
+    rows = _topic_rows(spark, sf, coarse=False)
     watch, _ = watchlist.watchlist_views(watchlist.monthly_series(rows))
     return watchlist.watchlist_summary(rows, watch)
 
 
-def recurring_signals(spark: SparkSession, sf: str) -> DataFrame:
-    watch, _ = watchlist.watchlist_views(_series(spark, sf))
+def recurring_signals(spark: SparkSession, sf: str, coarse: bool = True) -> DataFrame:
+    watch, _ = watchlist.watchlist_views(_series(spark, sf, coarse))
     return watchlist.recurring_signals(watch)
 
 
@@ -194,14 +195,30 @@ def global_topic_month(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("topic_id", "month", "complaints", F.round("growth_vs_6mo_avg", 6).alias("growth_vs_6mo_avg"))
 
 
-def signal_flow(spark: SparkSession, sf: str) -> DataFrame:
-    watch, _ = watchlist.watchlist_views(_series(spark, sf))
+def signal_flow(spark: SparkSession, sf: str, coarse: bool = True) -> DataFrame:
+    watch, _ = watchlist.watchlist_views(_series(spark, sf, coarse))
     return watch.groupBy("month").pivot("signal_tier", list(watchlist.TIERS)).agg(F.count(F.lit(1))).fillna(0).select("month", *[F.col(t).alias(t.lower().replace(" ", "_").replace("-", "_")) for t in watchlist.TIERS])
 
 
+def emerging_watchlist_full(spark: SparkSession, sf: str) -> DataFrame:
+    return emerging_watchlist(spark, sf, coarse=False)
+
+
+def risk_monitor_full(spark: SparkSession, sf: str) -> DataFrame:
+    return risk_monitor(spark, sf, coarse=False)
+
+
+def recurring_signals_full(spark: SparkSession, sf: str) -> DataFrame:
+    return recurring_signals(spark, sf, coarse=False)
+
+
+def signal_flow_full(spark: SparkSession, sf: str) -> DataFrame:
+    return signal_flow(spark, sf, coarse=False)
+
+
 def clue_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of the latest flagged signals; narratives come from the severity cases."""
-    rows = _topic_rows(spark, sf)
+    rows = _topic_rows(spark, sf, coarse=False)
     watch, _ = watchlist.watchlist_views(watchlist.monthly_series(rows))
     texts = rows.withColumn("modeltxt", F.coalesce("modeltxt", F.lit("any"))).join(load_table(spark, sf, "odi_severity_cases").select("odino", F.col("cdescr").alias("text")), "odino")
     return watchlist.clue_terms(texts, watch.withColumn("modeltxt", F.coalesce("modeltxt", F.lit("any"))), ["the", "and", "was", "it"])
@@ -391,7 +408,7 @@ QUERIES = {
     for f in (
         clean_rows, clean_summary, cleaning_metrics, component_groups, multi_cases, single_cases, severity_rows, best_texts, text_conflicts, text_overlap, era_drift, conflict_summary, scope_summary,
         group_presence, prior_history, age_and_region, split_summary, quality_checks, duplicate_rows, column_audit, outlier_profile, null_rates, lag_bands, month_mix, yearly_rates, cohort_growth,
-        emerging_watchlist, risk_monitor, watchlist_summary, recurring_signals, global_topic_month, signal_flow, clue_terms, review_budgets, average_precision, roc_auc, score_summary, reliability,
+        emerging_watchlist, risk_monitor, watchlist_summary, recurring_signals, global_topic_month, signal_flow, emerging_watchlist_full, risk_monitor_full, recurring_signals_full, signal_flow_full, clue_terms, review_budgets, average_precision, roc_auc, score_summary, reliability,
         calibration, class_report, confusion, multilabel_metrics, label_prevalence, text_features, context_flags, topic_text, severity_text, personal_strip, tfidf_terms, topics, severity_model,
         topic_mix, leaderboard, label_shares, share_shift, urgency_bands, threshold_grid, latest_case_per_make, set_operations, event_properties,
     )
