@@ -39,11 +39,15 @@ def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
     return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*[grams(w, n) for n in range(least, most + 1)]))))
 
 
-def tfidf(docs: DataFrame, key: str, terms: Column, least_df: int = 1, most_share: float = 1.0, vocabulary: int | None = None, sublinear: bool = True) -> DataFrame:
-    """(key, term, weight): smooth idf, sublinear tf, unit length per document; the vocabulary is cut by corpus count, ties by term."""
-    counts = docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(total))  # one-row side
+def tfidf(docs: DataFrame, key: str, terms: Column, least_df: int = 1, most_share: float = 1.0, vocabulary: int | None = None, sublinear: bool = True, fit: DataFrame | None = None) -> DataFrame:
+    """(key, term, weight): smooth idf, sublinear tf, unit length per document; the vocabulary is cut by corpus count, ties by term.
+
+    Vocabulary and document frequencies are those of ``fit`` (all of ``docs`` if not given); documents without a fitted term have no row.
+    """
+    count_terms = lambda df: df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = count_terms(docs)
+    total = (docs if fit is None else fit).agg(F.count(F.lit(1)).alias("n_docs"))
+    stats = (counts if fit is None else count_terms(fit)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(total))  # one-row side
     kept = stats.filter((F.col("df") >= least_df) & (F.col("df") <= F.col("n_docs") * most_share))
     if vocabulary:
         kept = kept.orderBy(F.col("cf").desc(), "term").limit(vocabulary)
@@ -153,17 +157,19 @@ def fit_pipeline(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
 # --- topics: non-negative matrix factorisation ---
 
 
-def nmf_topics(weights: DataFrame, key: str, topics: int, iterations: int = 30, seed: int = 7) -> tuple[DataFrame, np.ndarray, list[str]]:
+def nmf_topics(weights: DataFrame, key: str, topics: int, iterations: int = 30, seed: int = 7, fit: DataFrame | None = None) -> tuple[DataFrame, np.ndarray, list[str]]:
     """Factors documents x terms into documents x topics and topics x terms (multiplicative updates).
 
     Document rows stay partitioned; only the topics x terms factor (bounded by the vocabulary cut) and the topics x topics and
-    topics x terms sums of a round pass through the driver. Returns (key, weights array), the term factor and the vocabulary.
+    topics x terms sums of a round pass through the driver. The factor is fitted on the keys of ``fit`` (all if not given) and applied
+    to every document. Returns (key, weights array), the term factor and the vocabulary.
     """
     spark = weights.sparkSession
-    vocabulary = bounded_vocabulary(weights)
+    vocabulary = bounded_vocabulary(weights if fit is None else weights.join(fit.select(key).distinct(), key, "left_semi"))
     m = len(vocabulary)
     index = spark.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
     rows = materialize(weights.join(F.broadcast(index), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("cells")).select(key, F.col("cells.i").alias("idx"), F.col("cells.weight").alias("val")), "nmf-rows")
+    fitted = rows if fit is None else materialize(rows.join(fit.select(key).distinct(), key, "left_semi"), "nmf-fitted")
     rng = np.random.default_rng(seed)
     factor = rng.random((topics, m)) + 1e-3
 
@@ -190,7 +196,7 @@ def nmf_topics(weights: DataFrame, key: str, topics: int, iterations: int = 30,
             yield pd.DataFrame({"part": ["a", "b"], "cells": [a.ravel(), b.ravel()]})
 
         # sums of the tasks are added in the cluster, position by position
-        parts = rows.select("idx", "val").mapInPandas(sums, "part string, cells array<double>")
+        parts = fitted.select("idx", "val").mapInPandas(sums, "part string, cells array<double>")
         added = parts.select("part", F.posexplode("cells").alias("pos", "x")).filter("x <> 0").groupBy("part", "pos").agg(F.sum("x").alias("x")).toPandas()
         a, b = np.zeros(topics * topics), np.zeros(topics * m)
         for name, vector in (("a", a), ("b", b)):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,21 +26,33 @@ def preprocess(spark: SparkSession, complaints: DataFrame, out: str) -> dict[str
     return {"cleaned": clean, "components": components, **tables, "severity": write("cases_severity", cases.severity_cases(clean)), "text": write("text_sidecar", cases.best_text(clean)), "drift": write("era_drift", cases.era_drift(clean))}
 
 
-def narrative_cache(multi: DataFrame, sidecar: DataFrame) -> DataFrame:
-    """Cases with a usable narrative, cleaned for topics, with context flags."""
+def narrative_cache(multi: DataFrame, sidecar: DataFrame, lemmatizer: Callable[[str], str] = str.lower) -> DataFrame:
+    """Cases with a usable narrative, cleaned for topics and lemmatised, with context flags."""
     joined = cases.merge_text(multi, sidecar).filter(~F.col("cdescr_missing_flag") & ~F.col("cdescr_placeholder_flag"))
     usable = joined.filter(~F.coalesce(F.substring("cdescr_model_text", 1, 25).rlike(r"(?i)\battached\s+documents?\b"), F.lit(False)))
     flagged = X.context_flags(usable, "cdescr_model_text")
     cleaned = flagged.withColumn("topic_text", X.remove_identifiers(X.clean_for_topics(F.col("cdescr_model_text")), F.col("maketxt"), F.col("modeltxt"), F.col("yeartxt")))
-    return cleaned.filter(word_count(F.col("topic_text")) >= LEAST_WORDS).withColumn("month", F.trunc("ldate", "MM"))
+    worded = cleaned.filter(word_count(F.col("topic_text")) >= LEAST_WORDS).withColumn("month", F.trunc("ldate", "MM"))
+    return X.lemmatize(worded, "topic_text", "topic_lemma", lemmatizer)
+
+
+def topic_model(docs: DataFrame, text: str, topics: int = 20, least_df: int = 20, iterations: int = 20) -> tuple[DataFrame, np.ndarray, list[str]]:
+    """Topics of every document; terms, document frequencies and factor are fitted on the cases before the development cut.
+
+    ``docs``: odino, ldate and the text. Without a development case there is nothing to fit on, which is an error.
+    """
+    development = docs.filter(features.split_column(F.col("ldate"), "topic") == "development")
+    if development.isEmpty():
+        raise ValueError("no development cases to fit topics on")
+    weights = modeling.tfidf(docs, "odino", modeling.word_grams(F.col(text), list(STOP)), least_df=least_df, most_share=0.75, vocabulary=50_000, fit=development)
+    return modeling.nmf_topics(weights, "odino", topics, iterations, fit=development)
 
 
-def early_warning(spark: SparkSession, multi: DataFrame, sidecar: DataFrame, out: str, topics: int = 20, least_df: int = 20, iterations: int = 20) -> dict[str, DataFrame]:
-    """Narratives to topics to cohort watchlists; topics are fitted before the cut and applied to all cases."""
+def early_warning(spark: SparkSession, multi: DataFrame, sidecar: DataFrame, out: str, topics: int = 20, least_df: int = 20, iterations: int = 20, lemmatizer: Callable[[str], str] = str.lower) -> dict[str, DataFrame]:
+    """Narratives to topics to cohort watchlists; topics are fitted before the development cut and applied to all cases."""
     write = lambda name, df: spark.read.parquet(sinks.write_frame(df, f"{out}/{name}.parquet"))
-    cache = write("nlp_cache", narrative_cache(multi, sidecar))
-    weights = modeling.tfidf(cache.select("odino", "topic_text"), "odino", modeling.word_grams(F.col("topic_text"), list(STOP)), least_df=least_df, most_share=0.75, vocabulary=50_000)
-    doc_topics, factor, vocabulary = modeling.nmf_topics(weights, "odino", topics, iterations)
+    cache = write("nlp_cache", narrative_cache(multi, sidecar, lemmatizer))
+    doc_topics, factor, vocabulary = topic_model(cache.select("odino", "ldate", "topic_lemma"), "topic_lemma", topics, least_df, iterations)
     named = spark.createDataFrame([(i, ", ".join(t[:3])) for i, t in enumerate(modeling.top_terms(factor, vocabulary))], "topic_id int, topic_label string")
     strong = modeling.topic_rows(doc_topics, "odino").filter("strong_topic_flag").join(F.broadcast(named), "topic_id")
     rows = watchlist.explode_groups(cache.join(strong, "odino")).withColumns({"topic_category": F.lit("defect"), "watchlist_group": F.lit("defect_watchlist")})

@@ -57,3 +57,28 @@ def test_topic_library(spark):
     texts = spark.createDataFrame([(1, "2024-01-01", "one"), (2, "2025-02-01", "two"), (3, "2025-02-01", "three")], "k int, ldate string, text string").withColumn("ldate", F.to_date("ldate"))
     out = {r["topic_id"]: r for r in reports.topic_library(topics, texts, "k", "2025-01-01").collect()}
     assert (out[0]["development_share"], out[0]["forward_share"], out[0]["examples"]) == (1.0, 0.5, ["two", "one"])
+
+
+def test_topics_are_fitted_before_the_cut(spark):
+    """Forward cases change neither the vocabulary nor the topics of development cases, and get topics themselves."""
+    rng = random.Random(3)
+    words = {0: "gear slip shift clutch stall".split(), 1: "lamp dark bulb fuse flicker".split()}
+    text = lambda i: " ".join(rng.choice(words[i % 2]) for _ in range(8))
+    development = [(f"d{i:02d}", "2024-05-01", text(i)) for i in range(20)]
+    forward = [(f"f{i:02d}", "2025-05-01", text(i) + " battery battery smoke") for i in range(30)]
+    fit = lambda rows: pipelines.topic_model(spark.createDataFrame(rows, "odino string, ldate string, t string").withColumn("ldate", F.to_date("ldate")), "t", 2, 2, 3)
+    (alone, factor, vocabulary), (every, factor_2, vocabulary_2) = fit(development), fit(development + forward)
+    assert vocabulary == vocabulary_2 and "battery" not in vocabulary and any(" " in t for t in vocabulary)
+    assert factor == pytest.approx(factor_2)
+    alone, every = ({r["odino"]: r["topic_weights"] for r in df.collect()} for df in (alone, every))
+    assert set(every) == {r[0] for r in development + forward}
+    assert all(every[k] == pytest.approx(w) for k, w in alone.items())
+    with pytest.raises(ValueError, match="no development cases"):
+        fit(forward)
+
+
+def test_narratives_are_lemmatised(spark):
+    multi = spark.createDataFrame([("1", "MAKE", "MODEL", 2020, "2024-05-01", "era")], "odino string, maketxt string, modeltxt string, yeartxt int, ldate string, source_era string").withColumn("ldate", F.to_date("ldate"))
+    sidecar = spark.createDataFrame([("1", "brakes squeal loudly whenever stopping downhill", False, False, 47, 6, "era")], "odino string, cdescr_model_text string, cdescr_missing_flag boolean, cdescr_placeholder_flag boolean, cdescr_char_len int, cdescr_word_count int, source_era string")
+    row = pipelines.narrative_cache(multi, sidecar, lambda t: t.replace("brakes", "brake")).first()
+    assert "brakes" in row["topic_text"].split() and "brake" in row["topic_lemma"].split() and "brakes" not in row["topic_lemma"].split()
