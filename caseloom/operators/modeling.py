@@ -25,7 +25,8 @@ def word_grams(text: Column, stop: list[str] = (), two: bool = True) -> Column:
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(list(stop)) if stop else F.lit(True))
     if not two:
         return words
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
+    n = F.greatest(F.size(words) - 1, F.lit(0))  # slices, as a lambda would split the text again for every word
+    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda x, y: F.concat_ws(" ", x, y))
     return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
 
 

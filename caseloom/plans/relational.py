@@ -11,6 +11,7 @@ from caseloom.functions import columns as C
 from caseloom.functions import text as X
 from caseloom.operators import cases as K
 from caseloom.operators import cleaning, evaluation, features, history, modeling, reports, selection, watchlist
+from caseloom.plans import pipelines
 from caseloom.plans.relational_sql import SQL  # noqa: F401
 from caseloom.quality import report
 from caseloom.session import load_table, spread
@@ -317,9 +318,9 @@ def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load_table(spark, sf, "odi_severity_cases").filter("cdescr IS NOT NULL").select("odino", F.col("cdescr").alias("text")).dropDuplicates(["odino"])
-    weights = modeling.tfidf(docs, "odino", modeling.word_grams(F.col("text"), ["the", "and", "was", "it", "to"], two=False), least_df=20, most_share=0.75, vocabulary=5000)
-    doc_topics, _, _ = modeling.nmf_topics(weights, "odino", 8, iterations=8)
+    """The topics of the early-warning pipeline with its parameters, over uncleaned narratives."""
+    docs = load_table(spark, sf, "odi_severity_cases").filter("cdescr IS NOT NULL").select("odino", "ldate", F.col("cdescr").alias("text")).dropDuplicates(["odino"])
+    doc_topics, _, _ = pipelines.topic_model(docs, "text")
     return modeling.topic_rows(doc_topics, "odino").groupBy("topic_id").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg("topic_strength"), 6).alias("avg_strength"), F.count_if("strong_topic_flag").alias("strong"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.operators import reports, selection
-from caseloom.plans import pipelines
+from caseloom.plans import pipelines, relational
 from caseloom.session import load_table
 
 
@@ -82,3 +82,19 @@ def test_narratives_are_lemmatised(spark):
     sidecar = spark.createDataFrame([("1", "brakes squeal loudly whenever stopping downhill", False, False, 47, 6, "era")], "odino string, cdescr_model_text string, cdescr_missing_flag boolean, cdescr_placeholder_flag boolean, cdescr_char_len int, cdescr_word_count int, source_era string")
     row = pipelines.narrative_cache(multi, sidecar, lambda t: t.replace("brakes", "brake")).first()
     assert "brakes" in row["topic_text"].split() and "brake" in row["topic_lemma"].split() and "brakes" not in row["topic_lemma"].split()
+
+
+def test_topics_query_runs_with_the_parameters_of_the_pipeline(spark, tmp_path, monkeypatch):
+    seen = {}
+
+    def keep(weights, key, topics, iterations=30, seed=7, fit=None):
+        seen.update(topics=topics, iterations=iterations, terms={r["term"] for r in weights.select("term").distinct().collect()})
+        return spark.createDataFrame([("1", [1.0])], "odino string, topic_weights array<double>"), None, None
+
+    monkeypatch.setattr(pipelines.modeling, "nmf_topics", keep)
+    # 5,200 terms of twenty documents each, which a vocabulary of 5,000 cannot hold
+    rows = [(f"{i:03d}", "2024-05-01" if i < 40 else "2025-05-01", " ".join(f"w{n}" for n in range(2600)) if i < 20 else "later only") for i in range(80)]
+    spark.createDataFrame(rows, "odino string, ldate string, cdescr string").withColumn("ldate", F.to_date("ldate")).coalesce(1).write.parquet(str(tmp_path / "odi_severity_cases.parquet"))
+    assert relational.QUERIES["topics"](spark, str(tmp_path)).count() == 1
+    assert (seen["topics"], seen["iterations"]) == (20, 20)
+    assert len(seen["terms"]) > 5000 and "w1 w2" in seen["terms"]
