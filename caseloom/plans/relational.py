@@ -112,7 +112,7 @@ def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def column_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return report.column_audit(load_table(spark, sf, "complaints").select("odino", "yeartxt", "state", "miles", "injured", "crash", "prod_type", "source_file"))
+    return report.column_audit(load_table(spark, sf, "complaints"))
 
 
 def outlier_profile(spark: SparkSession, sf: str) -> DataFrame:

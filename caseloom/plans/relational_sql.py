@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from caseloom.functions import columns as C
 from caseloom.functions import text as X
+from caseloom.functions.patterns import compact
 
 
 def _date(c: str) -> str:
@@ -152,7 +153,7 @@ def _history() -> str:
 
 
 _CONFLICT = ("mfr_name", "maketxt", "modeltxt", "state", "miles", "veh_speed", "ldate")
-_AUDIT = ("odino", "yeartxt", "state", "miles", "injured", "crash", "prod_type", "source_file")
+_AUDIT = "cmplid odino mfr_name maketxt modeltxt yeartxt crash faildate fire injured deaths compdesc city state vin datea ldate miles cdescr veh_speed dealer_state prod_type medical_attn vehicles_towed_yn police_rpt_yn orig_owner_yn anti_brakes_yn cruise_cont_yn orig_equip_yn repaired_yn source_zip source_file".split()
 _OUT = ("miles", "veh_speed", "lag_days_safe", "row_count")
 _CHECKS = [("ldate", "date"), ("faildate", "date"), ("datea", "date")]
 
@@ -219,7 +220,7 @@ SQL = {
     "confusion": _LABELS + ", f AS (SELECT CASE WHEN truth IN ('AIR BAGS', 'ELECTRICAL SYSTEM', 'ENGINE / COOLING', 'STEERING', 'SUSPENSION') THEN truth END AS true_group, predicted AS pred_group, count(*) AS n FROM z WHERE predicted IN ('AIR BAGS', 'ELECTRICAL SYSTEM', 'ENGINE / COOLING', 'STEERING', 'SUSPENSION') GROUP BY 1, 2) SELECT *, round(n / sum(n) OVER (PARTITION BY true_group), 6) AS row_share FROM f",
     "multilabel_metrics": _LABELS + ", g AS (SELECT list_distinct(labels) AS t, list_distinct([truth, predicted]) AS p FROM z), x AS (SELECT unnest(t) AS c, 1 AS t, 0 AS p, list_contains(p, unnest(t))::INT AS h FROM g), x2 AS (SELECT c, 1 AS t, 0 AS p, list_contains(pp, c)::INT AS h FROM (SELECT unnest(t) AS c, p AS pp FROM g) UNION ALL SELECT unnest(p), 0, 1, 0 FROM g), cl AS (SELECT c, 2 * sum(h) / (sum(t) + sum(p)) AS f1 FROM x2 GROUP BY c) SELECT round(2 * sum(len(list_intersect(t, p))) / (sum(len(t)) + sum(len(p))), 6) AS micro_f1, (SELECT round(avg(f1), 6) FROM cl) AS macro_f1, round(avg((list_sort(t) = list_sort(p))::INT), 6) AS exact_match, (SELECT count(*) FROM cl) AS label_coverage FROM g",
     "label_prevalence": _LABELS + "SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM z), 6) AS prevalence FROM (SELECT unnest(list_distinct(labels)) AS label FROM z) GROUP BY label",
-    "text_features": f"SELECT odino, list_max(list_transform(regexp_extract_all(cdescr, '{X.SPEED}', 1), lambda x: try_cast(x AS INTEGER))) AS max_mph, coalesce(regexp_matches(cdescr, '{X.HIGHWAY}'), false) AS highway_flag, coalesce(trim(cdescr) <> '' AND (upper(trim(cdescr)) IN ({_list(C.PLACEHOLDERS)}) OR (length(trim(cdescr)) <= 10 AND NOT regexp_matches(upper(trim(cdescr)), '[A-Z]'))), false) AS placeholder_flag FROM odi_severity_cases",
+    "text_features": f"SELECT odino, list_max(list_transform(regexp_extract_all(cdescr, '{X.SPEED}', 1), lambda x: try_cast(x AS INTEGER))) AS max_mph, coalesce(regexp_matches(cdescr, '{compact(X.HIGHWAY)}'), false) AS highway_flag, coalesce(trim(cdescr) <> '' AND (upper(trim(cdescr)) IN ({_list(C.PLACEHOLDERS)}) OR (length(trim(cdescr)) <= 10 AND NOT regexp_matches(upper(trim(cdescr)), '[A-Z]'))), false) AS placeholder_flag FROM odi_severity_cases",
     "personal_strip": "SELECT DISTINCT cmplid, md5(" + "regexp_replace(" * len(X.PERSONAL) + "cdescr" + "".join(f", '{p}', ' ', 'g')" for p in X.PERSONAL) + ") AS text_md5 FROM complaints",
     "tfidf_terms": """WITH d AS (SELECT odino, regexp_extract_all(lower(cdescr), '[a-z0-9_]{2,}') AS w FROM odi_severity_cases WHERE cdescr IS NOT NULL), tf AS (SELECT odino, term, count(*) AS tf FROM (SELECT odino, unnest(w) AS term FROM d) GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.75 * (SELECT count(*) FROM d)), w AS (SELECT odino, tf.term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM d)) / (1 + df)) + 1) AS w FROM tf JOIN df ON tf.term = df.term),

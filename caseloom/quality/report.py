@@ -64,17 +64,21 @@ def quality_report(df: DataFrame, dates: list[str] = (), numbers: dict[str, int
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows repeated whole: count of surplus copies, by a 64-bit hash pair of all columns."""
-    hashed = df.select(F.struct(F.xxhash64(*df.columns).alias("a"), F.hash(*df.columns).alias("b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    """Rows repeated whole: count of surplus copies, by two hashes of all columns and of which are null (a hash alone skips nulls)."""
+    parts = [*df.columns, *[F.col(f"`{c}`").isNull() for c in df.columns]]
+    hashed = df.select(F.struct(F.xxhash64(*parts).alias("a"), F.hash(*parts).alias("b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     return hashed.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
 
 
 def column_audit(df: DataFrame) -> DataFrame:
-    """Per column: nulls, share, distinct values, share that reads as a number."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in df.columns]))
-    per_value = df.select(cells.alias("c")).select("c.*").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-    number = F.col("v").try_cast("double").isNotNull()
-    out = per_value.groupBy("column_name").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct_values"), F.coalesce(F.sum(F.when(number, F.col("n"))), F.lit(0)).alias("numeric"))
+    """Per column: nulls, share, distinct values, share that reads as a number. Values over 32 characters travel as their digest."""
+
+    def cell(c: str) -> Column:
+        v = F.col(c).cast("string")
+        return F.struct(F.lit(c).alias("column_name"), F.when(F.length(v) > 32, F.concat(F.lit("#"), F.md5(v))).otherwise(v).alias("v"), v.try_cast("double").isNotNull().alias("numeric"))
+
+    per_value = df.select(F.explode(F.array(*[cell(c) for c in df.columns])).alias("c")).select("c.*").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"), F.max("numeric").alias("numeric"))
+    out = per_value.groupBy("column_name").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct_values"), F.coalesce(F.sum(F.when(F.col("numeric"), F.col("n"))), F.lit(0)).alias("numeric"))
     return out.select("column_name", "n_rows", "nulls", F.round(F.col("nulls") / F.col("n_rows"), 6).alias("null_share"), "distinct_values", F.round(F.col("numeric") / F.greatest(F.col("n_rows") - F.col("nulls"), F.lit(1)), 6).alias("numeric_share"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zipfile
 from functools import reduce
 from pathlib import Path
@@ -72,14 +73,20 @@ def detect_encoding(path: str | Path) -> str:
 def read_delimited(spark: SparkSession, path: str, columns: list[str], delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
     """All-string rows of a headerless file. Rows with too many fields are skipped, short rows are padded with null.
 
-    One extra column takes the first surplus field, so that a row that overflows is known without a second parse.
+    One extra column makes every row but those with one surplus field a "corrupt" one whose text is kept, and the delimiters
+    outside quoted fields tell short rows from long ones, whether or not the surplus fields are empty.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_surplus"]])
+    sep = delimiter or detect_delimiter(path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_surplus", "_record"]])
     raw = (
-        spark.read.schema(schema).option("sep", delimiter or detect_delimiter(path)).option("encoding", encoding or detect_encoding(path)).option("header", "false")
-        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+        spark.read.schema(schema).option("sep", sep).option("encoding", encoding or detect_encoding(path)).option("header", "false")
+        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record").csv(path)
     )
-    return raw.filter(F.col("_surplus").isNull()).drop("_surplus")
+    mark = re.escape(sep)
+    bare = F.regexp_replace("_record", f'(^|{mark})"(?:[^"]|"")*"', "$1")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    # no null test on the record itself: the reader would apply it before the record is filled in
+    return raw.filter(F.coalesce(fields, F.lit(len(columns) + 1)) <= len(columns)).drop("_surplus", "_record")
 
 
 def with_provenance(df: DataFrame, archive: str, file: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 
-from caseloom.quality import schema_docs
+from caseloom.quality import report, schema_docs
 from caseloom.sources import ingest, sinks
 
 
@@ -94,3 +94,22 @@ def test_schema_document():
     assert schema_docs.detect_schema(["zzz"], {"complaints": list(specs)}) is None
     with pytest.raises(ValueError):
         schema_docs.parse_schema("nothing")
+
+
+def test_rows_of_other_length(spark, tmp_path):
+    """Short rows are padded; long ones are skipped even if their first surplus field is empty; quoted delimiters do not count."""
+    path = tmp_path / "rows.txt"
+    path.write_text('1\t2\n3\n5\t6\t\tx\n7\t8\t9\n"a\tb"\t"c ""d"""\n5\t6\t\n\tz\n')
+    rows = ingest.read_delimited(spark, str(path), ["a", "b"], "\t", "UTF-8")
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([("1", "2"), ("3", None), ("a\tb", 'c "d"'), (None, "z")], key=str)
+    assert rows.select("b").count() == 4 and rows.count() == 4
+
+
+def test_duplicate_rows_tells_nulls_apart(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("b", "b"), ("b", "b"), (None, None)], "x string, y string")
+    assert tuple(report.duplicate_rows(df).first()) == (1, 5)
+
+
+def test_column_audit_of_long_values(spark):
+    df = spark.createDataFrame([("x" * 500,), ("x" * 500,), ("1" * 40,), (None,)], "t string")
+    assert tuple(report.column_audit(df).first()) == ("t", 4, 1, 0.25, 2, round(1 / 3, 6))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,14 +27,38 @@ def one(spark, value, column):
         ("no speed", X.max_mph, None),
         (None, X.max_mph, None),
         ("call 555-123-4567 or a.b@c.org", lambda c: X.squeeze(X.remove_personal(c)), "call or"),
-        ("Text. Information redacted pursuant to law", lambda c: X.squeeze(X.cut_boilerplate(c)), "Text."),
-        ("The contact stated that it stalled [XXX]. call 555-123-4567, case number 123456", X.severity_text, "contact_token it stalled . call phone_token , case_id_token"),
+        ("Text. Information redacted pursuant to the Freedom of Information Act (FOIA), 5 U.S.C.", lambda c: X.squeeze(X.cut_boilerplate(c)), "Text."),
+        ("I filed a FOIA request. The brakes failed and the car burned.", X.cut_boilerplate, "I filed a FOIA request. The brakes failed and the car burned."),
+        ("I filed a FOIA request. The brakes failed.", X.clean_for_topics, "i filed a foia request the brakes failed"),
+        ("Stop don'ts now", X.expand_contractions, "Stop do nots now"),
+        ("The contact owns a 2016 Example. It stalled at 60mph on the freeway. The manufacturer was notified of the failure. It got 20mpg.", X.clean_for_topics, "it stalled on the it got 20 mpg"),
+        ("(555 main street, phone number 5) gears slip", X.clean_for_topics, "gears slip"),
+        ("The contact stated that it stalled [XXX]. call 555-123-4567, case number 123456", X.severity_text, "that it stalled . call phone_token , case_id_token"),
+        ("My car. Later the contact owns a truck and said that it burned. I sent a FOIA request. The end.", X.severity_text, "My car. Later the contact owns a truck and said that it burned. I sent a FOIA request. The end."),
+        ("", X.severity_text, ""),
+        (None, X.severity_text, ""),
+        (None, X.clean_for_topics, None),
     ],
 )
 def test_functions(spark, text, column, want):
     assert one(spark, text, column) == want
 
 
+def test_severity_text_against_brute_force(spark, sf):
+    """The same steps with another engine over every narrative of the small table."""
+    rows = spark.read.parquet(f"{sf}/odi_severity_cases.parquet").select("cdescr", X.severity_text(F.col("cdescr")).alias("got")).collect()
+    for r in rows:
+        t = re.sub(r"\s+", " ", r["cdescr"] or "").strip()
+        for pattern, token in ((X.SEVERITY_MARK, " "), (X.SEVERITY_NOTICE, " "), (X.SEVERITY_OPENING, ""), *X.SEVERITY_TOKENS):
+            t = re.sub(pattern, token, t, flags=re.A)
+        assert r["got"] == re.sub(r"\s+", " ", t).strip()
+
+
+def test_identifiers_with_quote_marks(spark):
+    df = spark.createDataFrame([("a we\\Eird one", "we\\Eird")], "t string, a string")
+    assert df.select(X.remove_identifiers(F.lower("t"), F.col("a"))).first()[0] == "a one"
+
+
 def test_identifiers_and_context(spark):
     df = spark.createDataFrame([("my ford f-150 2017 stalled while driving at 60 mph on the highway", "FORD", "F-150", 2017), ("ok", None, "nan", None)], "t string, a string, b string, c int")
     rows = df.select(X.remove_identifiers(F.col("t"), F.col("a"), F.col("b"), F.col("c")).alias("t")).collect()
