@@ -80,13 +80,14 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str], delimiter
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_surplus", "_record"]])
     raw = (
         spark.read.schema(schema).option("sep", sep).option("encoding", encoding or detect_encoding(path)).option("header", "false")
-        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record").csv(path)
+        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record").option("columnPruning", "false").csv(path)
     )
     mark = re.escape(sep)
     bare = F.regexp_replace("_record", f'(^|{mark})"(?:[^"]|"")*"', "$1")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
     # no null test on the record itself: the reader would apply it before the record is filled in
-    return raw.filter(F.coalesce(fields, F.lit(len(columns) + 1)) <= len(columns)).drop("_surplus", "_record")
+    kept = (F.coalesce(fields, F.lit(len(columns) + 1)) <= len(columns)) & (F.coalesce("_surplus", F.lit("")) == "")
+    return raw.filter(kept).drop("_surplus", "_record")
 
 
 def with_provenance(df: DataFrame, archive: str, file: str) -> DataFrame:
