@@ -3,7 +3,7 @@
 Each pretoken starts as its bytes. A segment tree holds, at leaf i, the rank of the pair that starts at the living part i (or
 infinity) and at each inner node the lesser child, the left one on ties; the root is thus the leftmost lowest-rank merge. A
 merge rewrites three leaves and their paths, so a pretoken of n bytes costs O(n log n) however long it is. The loop ends when
-the root is infinite. Distinct pretokens are encoded once per worker (the cache is bounded).
+the root is infinite. Distinct words are encoded once per worker (the cache is bounded).
 
 Defined results: null and empty texts get an empty list; the string of a special token is ordinary text; any text is encoded
 whole; equal texts get equal ids.
@@ -12,16 +12,21 @@ whole; equal texts get equal ids.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import os
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
 #: Pretokens of byte-level BPE as published with the vocabulary.
 PRETOKEN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A text is cut at single spaces between other characters: no pretoken reaches across one, each begins with it.
+_CUTS = re.compile(r" (?=\S)(?<=\S )").split
 NEVER = 1 << 60
 CACHE_MOST = 400_000
 CACHE_BYTES = 64
@@ -80,7 +85,8 @@ class Encoder:
 
         self.ranks = load_ranks(path)
         self.split = regex.compile(PRETOKEN_PATTERN).findall
-        self.cache: dict[str, list[int]] = {}
+        self.words = _Words(self.whole)
+        self.sizes = _Words(lambda part: len(self.whole(part)))
 
     def pretoken(self, piece: bytes) -> list[int]:
         """Ids of one pretoken."""
@@ -112,27 +118,62 @@ class Encoder:
             i = ends[i]
         return out
 
+    def whole(self, text: str) -> list[int]:
+        """Ids of any text, pretoken by pretoken."""
+        return [i for pretoken in self.split(text) for i in self.pretoken(pretoken.encode("utf-8"))]
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        cache = self.cache
-        ids: list[int] = []
-        for piece in self.split(text):
-            known = cache.get(piece)
-            if known is None:
-                known = self.pretoken(piece.encode("utf-8"))
-                if len(piece) <= CACHE_BYTES:
-                    if len(cache) >= CACHE_MOST:
-                        cache.clear()
-                    cache[piece] = known
-            ids += known
-        return ids
+        first, *rest = _CUTS(text)
+        return list(chain(self.whole(first), *map(self.words.__getitem__, rest)))
+
+    def count(self, text: str | None) -> int:
+        """The number of ids, without putting them together."""
+        if not text:
+            return 0
+        first, *rest = _CUTS(text)
+        return len(self.whole(first)) + sum(map(self.sizes.__getitem__, rest))
+
+
+class _Words(dict):
+    """Remembers what is made of a short part with a space before it."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str):
+        made = self.make(" " + part)
+        if len(part) <= CACHE_BYTES:
+            if len(self) >= CACHE_MOST:
+                self.clear()
+            self[part] = made
+        return made
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Sends a vocabulary file to the executors, so that only the driver needs the folder; returns the path."""
+    shipped = spark.sparkContext.__dict__.setdefault("_caseloom_files", set())
+    if path not in shipped:
+        spark.sparkContext.addFile(path)
+        shipped.add(path)
+    return path
+
+
+def local_file(path: str) -> str:
+    """The shipped copy of a file on this worker, or the path itself where nothing was shipped."""
+    if os.path.exists(path):
+        return path
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder per worker and vocabulary."""
-    return Encoder(path)
+    return Encoder(local_file(path))
 
 
 def vocabulary_path(name: str, folder: str = TOKENIZER_FOLDER) -> str:
@@ -156,8 +197,8 @@ def count_column(text: Column, path: str) -> Column:
 
     @F.pandas_udf("long")
     def sizes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(path).encode
+        count = encoder(path).count
         for series in texts:
-            yield series.map(lambda t: len(encode(t)), na_action=None).astype("int64")
+            yield series.map(count, na_action=None).astype("int64")
 
     return sizes(text)

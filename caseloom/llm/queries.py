@@ -56,7 +56,7 @@ def p6_survivors(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
-    return spread(load_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", bpe.encode_column(F.col("text"), bpe.vocabulary_path("byte_bpe_50k")).alias("ids"))
+    return spread(load_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", bpe.encode_column(F.col("text"), bpe.ship_file(spark, bpe.vocabulary_path("byte_bpe_50k"))).alias("ids"))
 
 
 def p9_packed(spark: SparkSession, sf: str) -> DataFrame:
