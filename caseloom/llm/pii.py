@@ -1,13 +1,16 @@
 """Personal information inside free text: finding it, and replacing it by typed, format-preserving pseudonyms.
 
 Mentions are found by kind: telephone numbers, mail addresses (also disguised ones), street addresses (house number with
-street, post boxes, rural routes), identity numbers (behind a word that says what they are) and names (given and family name,
-or a family name behind a title). Values are validated: a telephone number has an area code, an identity number the shape its
-kind allows, a house number a street word behind it; names of roads, firms and vehicles are told from persons by what follows.
+street, post boxes, rural routes), identity numbers (behind a word that says what they are, or nine digits written in their
+form), birth dates (behind a word that says so; other dates are no mentions) and names. A name is a family name behind a title,
+or two or three words of which the first is a known given name, or any such words, with capitals in a text that has case, behind
+a word that says a person follows ("my wife", "spoke with", "owner:", "sincerely") or before what only persons do ("told me");
+in a text without case only an outright cue counts ("my name is"). Values are validated: a telephone number has an area code, a
+social security number no part of zeros, a date is one; names of roads, firms, offices, places and vehicles are told from persons
+by their words and by what follows. Names without cue, title or known given name are not found.
 
-Each mention is replaced by ``[KIND value]``. Digits are permuted by a keyed Feistel network over the digits of the *normalised*
-value and written back into its own format, so that the same number gets the same pseudonym in every document however it was
-punctuated, and the permutation can be undone with the key. Words are replaced by a keyed code of the same normalised text.
+Each mention is replaced by ``[KIND value]``, the value by the keyed permutations of ``pseudonyms``: numbers, their letters and
+dates stay in their format and linked across documents, words become a keyed code.
 
 Defined results: null text has no mentions and stays null; empty text stays empty; mentions never overlap (mail addresses
 go before numbers, numbers before addresses, addresses before names); ``[XXX]`` is left alone; positions count characters from
@@ -16,21 +19,21 @@ go before numbers, numbers before addresses, addresses before names); ``[XXX]``
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 from collections.abc import Iterator
-from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.llm.pseudonyms import code, permute_date, permute_valid, permute_within, read_date
 from caseloom.session import spread
 
-NAME, PHONE, EMAIL, ADDRESS, IDENTITY = "name", "phone", "email", "street_address", "id_number"
-MENTION_SCHEMA = "array<struct<kind: string, start_pos: int, stop_pos: int>>"
+NAME, PHONE, EMAIL, ADDRESS, IDENTITY, BIRTH_DATE = "name", "phone", "email", "street_address", "id_number", "birth_date"
+MENTION_SCHEMA = "array<struct<kind: string, start_pos: int, stop_pos: int, placeholder: string>>"
 
-# Common given names that are not also everyday words of vehicle narratives.
+# Some given names in use, everyday words among them. A name in the list needs no cue before it; any other name does.
 GIVEN_NAMES = (
     "aaron adam ahmed aisha alan albert alejandro alex alexander alice amanda amy ana ana-maría ana-maria andrea andrew angela ann anna anthony "
     "antonio arthur ashley barbara benjamin beth betty brandon brenda brian carl carlos carol carolyn catherine charles chase cheryl "
@@ -103,10 +106,42 @@ _TITLE = re.compile(r"\b(?P<t>mr|mrs|ms|dr|miss|prof|sir|madam)\b\.?\s+(?P<fam>"
 _TITLE_BEFORE = re.compile(r"(?:^|[,:;(\n*!?-]|\b(?:for|to|called|with|by|from|and|told|saw|asked|named|is|was|doctor|adviser|advisor|manager|mechanic|owner|or|that|when|the|a|of|met))\s*$", re.I)
 _OWNER_CUE = re.compile(r"(?:owner|name|customer|client|driver|registered to|signed)\s*[:,-]?\s*$", re.I)
 
+_AT = re.compile(r"[(\[{]\s?at\s?[)\]}]")
+_BIRTH = re.compile(r"(?:\bd\.?o\.?b\b|\bdate\s+of\s+birth\b|\bbirth\s?dat?[ey]\w*\b|\bborn\b)[\s:#.,()=-]*(?:is\s+|was\s+|on\s+){0,2}(?P<v>\d{1,4}[/.-]\d{1,2}[/.-]\d{2,4}|[A-Za-z]{3,9}\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4})(?!\w)", re.I)
+# What makes the words behind it, or before it, a person; a deployment adds its own.
+RELATIONS = "wife husband son daughter mother father mom dad sister brother cousin aunt uncle nephew niece grandson granddaughter grandmother grandfather fiance fiancee girlfriend boyfriend friend neighbor neighbour roommate colleague coworker boss partner"
+ROLES = "owner co-owner driver passenger customer client buyer seller adviser advisor manager mechanic technician salesman saleswoman salesperson representative rep agent attorney lawyer officer trooper deputy doctor nurse witness investigator engineer receptionist supervisor operator"
+PERSON_ACTS = "said says told stated called wrote answered promised refused claimed explained phoned emailed replied confirmed hung laughed insisted admitted assured apologized who"
+_ROLE = "(?:" + "|".join([*RELATIONS.split(), *ROLES.split()]) + ")"
+_FULL_NAME = r"(?P<given>" + _NAME_WORD + r")(?:\s+(?:" + _WORD + r"\.?|(?P<more>" + _NAME_WORD + r")))?\s+(?P<fam>" + _NAME_WORD + r")(?![\w'’]*\w)"
+_CAPITALS = re.compile(r"(?<![\w'’-])" + _FULL_NAME.replace("(?P<", "(?=[^\\W\\d_a-z])(?P<"))
+_PERSON_BEFORE = re.compile(
+    r"(?<!\w)(?:(?:full\s+)?names?\s*(?:is|was|:|-)|i\s+am|i['’]m|this\s+is|(?:spoke|spoken|speaking|talked|talking|met|dealt|dealing|wrote|written|writing)\s+(?:with|to)|(?:ask|asked|asking)(?:\s+for)?"
+    r"|contact|call|reach|e-?mail|text|page|contacted|called|told|emailed|registered\s+(?:to|under)|titled\s+(?:to|in)|sold\s+(?:it\s+)?to|belongs\s+to|owned\s+by|signed(?:\s+by)?|sincerely|regards|attn\.?|attention|c/o|reported\s+by|filed\s+by|on\s+behalf\s+of"
+    r"|" + _ROLE + r"(?:\s+(?:is|was|named|called))?)\s*[,:;-]?\s+$",
+    re.I,
+)
+_ACTS = r"\s+(?:" + "|".join(PERSON_ACTS.split()) + r")\b"
+_PERSON_AFTER = re.compile(r",?" + _ACTS + r"|\s+(?:at|from|in)\s+(?:the|that|their)\s+(?:dealer|dealership|service|shop|garage|parts)\b|\s+(?:or|and)\s+[^\W\d_a-z]\w+\s+[^\W\d_a-z]\w+" + _ACTS)
+_NAMED_OUTRIGHT = re.compile(r"\b(?i:(?:my|his|her)\s+(?:full\s+)?name\s+(?:is|was)|owner(?:'s)?\s+name\s*(?:is|was|:|-)|name\s*:|registered\s+(?:to|under)\s+(?:the\s+name\s+)?|signed(?:\s+by)?\s*[,:;-])\s*" + _FULL_NAME)
+
 _GIVEN = frozenset(GIVEN_NAMES.split())
 _STOP = frozenset(COMMON_WORDS.split())
 _NOT_FAMILY = _STOP | frozenset(STREET_WORDS.split()) | frozenset(FIRM_WORDS.split())
 _PLACE_NEXT = frozenset(STREET_WORDS.split()) | frozenset("motors motor auto autos automotive garage tires service services center centre group shop body brothers bros company corp inc llc ltd towing repair".split())
+# Words that open or end names of makes, firms, offices, places and times, not of persons.
+PROPER_WORDS = (
+    "acura alfa audi bmw buick cadillac chevrolet chevy chrysler dodge ferrari fiat ford freightliner genesis gmc general honda hyundai infiniti isuzu jaguar jeep kia lamborghini land lexus lincoln lucid "
+    "maserati mazda mercedes mercury mini mitsubishi nissan oldsmobile peterbilt polestar pontiac porsche ram rivian rover saab saturn scion smart subaru suzuki tesla toyota volkswagen volvo vw yamaha harley benz "
+    "north south east west new san los las saint fort mount united states america american national federal state northern southern eastern western central "
+    "january february march april june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
+    "customer care relations assistance roadside department office recall safety traffic highway administration nhtsa dot insurance support sales parts engine air bag power steering brake fuel check light "
+    "police sheriff fire emergency better business bureau attorney consumer consumers report reports complaint campaign vehicle car truck model year make dear god jesus lord christmas thanksgiving"
+)
+_NOT_NAME = _NOT_FAMILY | frozenset(f"{PROPER_WORDS} {RELATIONS} {ROLES}".split())
+_OUTRIGHT_WORDS = frozenset("name registered signed".split())
+_BIRTH_WORDS = frozenset("dob d birth birthday birthdate born".split())
+_CUE_WORDS = frozenset("name names am m this with to ask asked asking for contact call reach email mail text page contacted called told emailed under in by signed sincerely regards attn attention c reported filed behalf".split()) | frozenset(f"{RELATIONS} {ROLES} {PERSON_ACTS}".replace("co-owner", "owner").split()) | {"dealer", "dealership", "service", "shop", "garage", "parts"}
 _TITLES = frozenset("mr mrs ms dr miss prof sir madam".split())
 _ID_WORDS = frozenset("ssn soc social passport dl d s license licence licenses licences".split())
 _STREET_SET = frozenset(STREET_WORDS.split()) | frozenset(STREETS_BEFORE.split())
@@ -121,7 +156,7 @@ def _name_style(text: str, a: int, c: int) -> bool:
     return text[a].isupper() == text[c].isupper() or text[c : c + 2] in ("o'", "d'")
 
 
-def _find_given(text: str, found: list[tuple[str, int, int]], free) -> None:
+def _find_given(text: str, found: _Found) -> None:
     """Names with a known given name: family name behind it, or before it and a comma where a word says who is meant."""
     for m in _TOKEN.finditer(text):
         word = m[0].lower()
@@ -130,79 +165,150 @@ def _find_given(text: str, found: list[tuple[str, int, int]], free) -> None:
             if word not in _GIVEN:
                 continue
         a, b = m.start(), m.start() + len(word)
-        if text[b : b + 1] == "'" or not free(a, b):
+        if text[b : b + 1] == "'" or not found.free(a, b):
             continue
         after = _AFTER_GIVEN.match(text, b)
         if after:
             c, d = after.span("fam")
             following = _NEXT_WORD.match(text, d)
             placed = following and following[1].lower() in _PLACE_NEXT
-            if text[c:d].lower() not in _NOT_FAMILY and not placed and _name_style(text, a, c) and free(a, d):
-                found.append((NAME, a, d))
+            if text[c:d].lower() in _GIVEN and (last := _AFTER_GIVEN.match(text, d)) and last["fam"].lower() not in _NOT_NAME and text[a].isupper() and _proper(last["fam"]):
+                d = last.end("fam")  # two given names
+            if text[c:d].lower() not in _NOT_FAMILY and not placed and _name_style(text, a, c) and found.free(a, d):
+                found.add(NAME, a, d)
                 continue
         before = _BEFORE_GIVEN.search(text, max(0, a - 60), a)
         if before:
             c = before.start("fam")
             family = before["fam"].lower()
-            if family not in _NOT_FAMILY and family not in _GIVEN and free(c, b) and _OWNER_CUE.search(text, max(0, c - 20), c):
-                found.append((NAME, c, b))
+            if family not in _NOT_FAMILY and family not in _GIVEN and found.free(c, b) and _OWNER_CUE.search(text, max(0, c - 20), c):
+                found.add(NAME, c, b)
+
+
+class _Found:
+    """Mentions that do not overlap, in order of place; a look-up costs the logarithm of their number."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        self.kinds: list[str] = []
+
+    def free(self, a: int, b: int) -> bool:
+        at = bisect.bisect_left(self.starts, b)
+        return at == 0 or self.stops[at - 1] <= a
+
+    def add(self, kind: str, a: int, b: int) -> None:
+        at = bisect.bisect_left(self.starts, a)
+        self.starts.insert(at, a)
+        self.stops.insert(at, b)
+        self.kinds.insert(at, kind)
 
 
 def find_mentions(text: str | None) -> list[tuple[str, int, int]]:
     """Mentions (kind, start, stop) of a text, by place; start counts from 0 and stop is exclusive."""
     if not text:
         return []
-    found: list[tuple[str, int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for _, x, y in found)
-
+    found = _Found()
     low = text.lower()
     words = frozenset(_WORDS.findall(low))
-    if "@" in low or "(at" in low or "[at" in low or "dot" in words:
+    if "@" in low or "dot" in words or ("at" in words and _AT.search(low)):
         for m in _EMAIL.finditer(text):
-            found.append((EMAIL, *m.span()))
+            found.add(EMAIL, *m.span())
     if not words.isdisjoint(_ID_WORDS):
         for cue in _ID_CUE.finditer(text):
             m = _ID_VALUE[cue.lastgroup].match(text, cue.end())
-            if m and free(m.start("v"), m.end("v")):
-                found.append((IDENTITY, m.start("v"), m.end("v")))
+            if m and found.free(*m.span("v")) and (cue.lastgroup != "ssn" or valid_ssn(m["v"])):
+                found.add(IDENTITY, *m.span("v"))
     if _DIGIT.search(text):
-        for m in _BARE_SSN.finditer(text):
-            if free(*m.span()):
-                found.append((IDENTITY, *m.span()))
-        if _LINE_NUMBER.search(text):
-            for m in _PHONE.finditer(text):
-                if free(*m.span()) and valid_phone(m[0]):
-                    found.append((PHONE, *m.span()))
-        if "box" in words:
-            for m in _BOX.finditer(text):
-                if free(*m.span()):
-                    found.append((ADDRESS, *m.span()))
-        if not words.isdisjoint(_STREET_SET):
-            at = 0
-            while m := _ADDRESS.search(text, at):
-                at = m.end()
-                middle = m["mid"]
-                if middle is not None and _UNSUITED.search(middle):
-                    at = m.start() + 1
-                    while at < len(text) and text[at].isdigit():
-                        at += 1
-                    continue
-                if free(*m.span()):
-                    found.append((ADDRESS, *m.span()))
+        _find_numbers(text, low, words, found)
     if not words.isdisjoint(_GIVEN):
-        _find_given(text, found, free)
-    if words.isdisjoint(_TITLES):
-        return sorted(found, key=lambda x: x[1])
+        _find_given(text, found)
+    if not words.isdisjoint(_TITLES):
+        _find_titled(text, found)
+    if not words.isdisjoint(_CUE_WORDS):
+        _find_cued(text, low, words, found)
+    return list(zip(found.kinds, found.starts, found.stops))
+
+
+def _find_numbers(text: str, low: str, words: frozenset[str], found: _Found) -> None:
+    """Birth dates, social security numbers without a cue, telephone numbers, post boxes and street addresses."""
+    if not words.isdisjoint(_BIRTH_WORDS):
+        for m in _BIRTH.finditer(text):
+            if found.free(*m.span("v")) and read_date(m["v"]):
+                found.add(BIRTH_DATE, *m.span("v"))
+    for m in _BARE_SSN.finditer(text):
+        if found.free(*m.span()) and valid_ssn(m[0]):
+            found.add(IDENTITY, *m.span())
+    if _LINE_NUMBER.search(text):
+        for m in _PHONE.finditer(text):
+            if found.free(*m.span()) and valid_phone(m[0]):
+                found.add(PHONE, *m.span())
+    if "box" in low:
+        for m in _BOX.finditer(text):
+            if found.free(*m.span()):
+                found.add(ADDRESS, *m.span())
+    if words.isdisjoint(_STREET_SET):
+        return
+    at = 0
+    while m := _ADDRESS.search(text, at):
+        at = m.end()
+        middle = m["mid"]
+        if middle is not None and _UNSUITED.search(middle):
+            at = m.start() + 1
+            while at < len(text) and text[at].isdigit():
+                at += 1
+            continue
+        if found.free(*m.span()):
+            found.add(ADDRESS, *m.span())
+
+
+def _find_titled(text: str, found: _Found) -> None:
+    """Family names behind a title."""
     for m in _TITLE.finditer(text):
         a, b = m.span("fam")
-        if m["fam"].lower() in _NOT_FAMILY or not free(a, b):
+        if m["fam"].lower() in _NOT_FAMILY or not found.free(a, b):
             continue
         if m["t"].lower() == "dr" and not _TITLE_BEFORE.search(text, max(0, m.start() - 30), m.start()):
             continue
-        found.append((NAME, a, b))
-    return sorted(found, key=lambda x: x[1])
+        found.add(NAME, a, b)
+
+
+def _proper(word: str) -> bool:
+    """Written as a name within a sentence: a capital and small letters behind it."""
+    bare = word[2:] if word[1:2] in ("'", "’", "`") else word
+    return word[0].isupper() and bare[:1].isupper() and not bare[1:].isupper()
+
+
+def _find_cued(text: str, low: str, words: frozenset[str], found: _Found) -> None:
+    """Names told by what stands around them, whatever the words: two or three words with a capital after a word that says
+    a person follows, or before what only persons do; in a text without case the cue must be one of those that name outright."""
+    starts = [w[0].isupper() for w in _WORDS.findall(text)]
+    cased = text not in (low, text.upper()) and (len(starts) < 10 or sum(starts) < 0.75 * len(starts))
+    if not cased and words.isdisjoint(_OUTRIGHT_WORDS):
+        return
+    find = (_CAPITALS if cased else _NAMED_OUTRIGHT).search
+    at = 0
+    while m := find(text, at):
+        a, b = m.start("given"), m.end("fam")
+        at = m.end("given")
+        parts = [p for p in (m["given"], m["more"], m["fam"]) if p]
+        if m["more"] and m["fam"].lower() in _NOT_NAME:  # the next sentence begins
+            parts, b = parts[:2], m.end("more")
+        if any(p.lower() in _NOT_NAME for p in parts) or (cased and not all(map(_proper, parts))):
+            continue
+        if cased and not _PERSON_AFTER.match(text, b) and not _PERSON_BEFORE.search(text, max(0, a - 40), a):
+            continue
+        following = _NEXT_WORD.match(text, b)
+        if (following and following[1].lower() in _PLACE_NEXT) or not found.free(a, b):
+            continue
+        found.add(NAME, a, b)
+        at = b
+
+
+def valid_ssn(written: str) -> bool:
+    """Nine digits of which neither area, group nor serial is all zeros."""
+    d = re.sub(r"\D", "", written)
+    return len(d) == 9 and d[:3] != "000" and d[3:5] != "00" and d[5:] != "0000"
 
 
 def valid_phone(written: str) -> bool:
@@ -212,95 +318,45 @@ def valid_phone(written: str) -> bool:
     return len(digits) <= 12 and local[0] not in "01" and len(set(local)) > 1
 
 
-def mentions_column(text: Column) -> Column:
-    """The mentions of a text column; equal texts of a batch are searched once."""
+def _once(texts: Iterator[pd.Series], make, nothing) -> Iterator[pd.Series]:
+    """Applies ``make`` to each distinct text of a batch."""
+    for series in texts:
+        codes, values = pd.factorize(series)
+        rows = [make(v) for v in values] + [nothing]
+        yield pd.Series([rows[c] for c in codes], index=series.index, dtype=object)
+
+
+def mentions_column(text: Column, key: bytes) -> Column:
+    """The mentions of a text column with their placeholders; equal texts of a batch are searched once."""
 
     @F.pandas_udf(MENTION_SCHEMA)
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            codes, values = pd.factorize(series)
-            rows = [[{"kind": k, "start_pos": a + 1, "stop_pos": b + 1} for k, a, b in find_mentions(v)] for v in values]
-            rows.append([])
-            yield pd.Series([rows[c] for c in codes], index=series.index, dtype=object)
+        yield from _once(texts, lambda t: [{"kind": k, "start_pos": a + 1, "stop_pos": b + 1, "placeholder": pseudonym(k, t[a:b], key)} for k, a, b in find_mentions(t)], [])
 
     return search.asNondeterministic()(text)  # else a filter on the result is pushed below and searches every text again
 
 
-def mentions(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct rows (key, kind, start_pos, stop_pos)."""
-    texts = spread(df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text")))
-    found = texts.select("_key", mentions_column(F.col("_text")).alias("_m")).filter(F.size("_m") > 0)
-    return found.select(F.col("_key").alias(key), F.explode("_m").alias("m")).select(key, "m.*").distinct()
-
-
-# --- format-preserving pseudonyms ---
-
-
-def _round_value(key: bytes, tweak: bytes, number: int, modulus: int) -> int:
-    return int.from_bytes(hashlib.blake2b(number.to_bytes(16, "big") + tweak, key=key, digest_size=16).digest(), "big") % modulus
-
-
-def feistel_digits(digits: str, key: bytes, tweak: bytes = b"", rounds: int = 10, inverse: bool = False) -> str:
-    """A keyed permutation of the digit strings of this length (alternating Feistel over a left and a right part)."""
-    n = len(digits)
-    if n < 2:
-        return str((int(digits) + (-1 if inverse else 1) * _round_value(key, tweak, 0, 10)) % 10) if digits else ""
-    u, v = n // 2, n - n // 2
-    a, b = int(digits[:u]), int(digits[u:])
-    sizes = (10**u, 10**v)
-    tweak = tweak + n.to_bytes(2, "big")
-    for r in reversed(range(rounds)) if inverse else range(rounds):
-        turn = tweak + r.to_bytes(1, "big")
-        if r % 2 == 0:
-            step = _round_value(key, turn, b, sizes[0])
-            a = (a + (-step if inverse else step)) % sizes[0]
-        else:
-            step = _round_value(key, turn, a, sizes[1])
-            b = (b + (-step if inverse else step)) % sizes[1]
-    return f"{a:0{u}d}{b:0{v}d}"
-
-
-def permute_within(value: str, key: bytes, tweak: bytes, keep: int = 0, inverse: bool = False) -> str:
-    """Permutes the digits of a written value and puts them back into its format; the first ``keep`` digits stay."""
-    digits = [c for c in value if c.isascii() and c.isdigit()]
-    fresh = digits[:keep] + list(feistel_digits("".join(digits[keep:]), key, tweak, inverse=inverse))
-    pieces = iter(fresh)
-    return "".join(next(pieces) if c.isascii() and c.isdigit() else c for c in value)
-
-
-def permute_valid(value: str, key: bytes, tweak: bytes, valid, keep: int = 0) -> str:
-    """Cycle-walks the permutation until the value is valid in its format again, so that it stays one-to-one."""
-    fresh = permute_within(value, key, tweak, keep)
-    while not valid(fresh):
-        fresh = permute_within(fresh, key, tweak, keep)
-    return fresh
-
-
-def permute_date(value: date, key: bytes, first: date = date(1900, 1, 1), last: date = date(2099, 12, 31)) -> date:
-    """A keyed permutation of the days between first and last: cycle-walking over five-digit day numbers."""
-    span = (last - first).days + 1
-    width = len(str(span - 1))
-    n = (value - first).days
-    while True:
-        n = int(feistel_digits(f"{n:0{width}d}", key, b"date"))
-        if n < span:
-            return date.fromordinal(first.toordinal() + n)
+def mentions(df: DataFrame, record: str, text: str, key: bytes) -> DataFrame:
+    """Distinct rows (record, kind, start_pos, stop_pos, placeholder): what ``redact_column`` puts where."""
+    texts = spread(df.filter(F.col(text).isNotNull()).select(F.col(record).alias("_key"), F.col(text).alias("_text")))
+    found = texts.select("_key", mentions_column(F.col("_text"), key).alias("_m")).filter(F.size("_m") > 0)
+    return found.select(F.col("_key").alias(record), F.explode("_m").alias("m")).select(record, "m.*").distinct()
 
 
-def code(value: str, key: bytes, kind: str) -> str:
-    """A keyed code of a word value, equal for equal normalised values."""
-    plain = re.sub(r"[\s.]+", " ", value.strip().lower())
-    return hashlib.blake2b(plain.encode(), key=key, person=kind.encode()[:16].ljust(16, b"\0"), digest_size=5).hexdigest()
+# --- placeholders ---
 
 
 def pseudonym(kind: str, value: str, key: bytes) -> str:
     """The typed placeholder of a mention."""
     if kind == PHONE:
         extra = len(re.sub(r"\D", "", value)) - 10
-        tail = permute_valid(value, key, b"phone", valid_phone, keep=max(0, extra))
-        return f"[PHONE {tail}]"
+        return f"[PHONE {permute_valid(value, key, b'phone', valid_phone, keep=max(0, extra))}]"
     if kind == IDENTITY:
-        return f"[ID_NUMBER {permute_within(value, key, b'id')}]"
+        valid = valid_ssn if re.fullmatch(r"\d{3}[-. ]?\d{2}[-. ]?\d{4}", value) else lambda _: True
+        return f"[ID_NUMBER {permute_valid(value, key, b'id', valid)}]"
+    if kind == BIRTH_DATE:
+        day, put = read_date(value)
+        return f"[BIRTH_DATE {put(permute_date(day, key))}]"
     if kind == ADDRESS:
         number = re.match(r"\d+", value)
         return f"[STREET_ADDRESS {permute_within(number[0], key, b'house') + ' ' if number else ''}{code(value, key, kind)}]"
@@ -327,9 +383,6 @@ def redact_column(text: Column, key: bytes) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            codes, values = pd.factorize(series)
-            done = [redact(v, key) for v in values] + [None]
-            yield pd.Series([done[c] for c in codes], index=series.index, dtype=object)
+        yield from _once(texts, lambda t: redact(t, key), None)
 
     return run(text)
