@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from caseloom.llm import reading
 
@@ -40,6 +41,41 @@ def test_held_out_accuracy(spark):
     assert sum(got[i] == b for i, _, _, b in unseen) / len(unseen) > 0.9
 
 
+def levels(spark, rows, labels, **more):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return {r["doc_id"]: (round(r["difficulty"], 6), r["band"]) for r in reading.reading_levels(docs, "doc_id", "text", "lang", "en", spark.createDataFrame(labels, "doc_id long, band string"), "doc_id", "band", **more).collect()}
+
+
+def test_words_outside_the_head_keep_their_values(spark, monkeypatch):
+    """Vectors for all words, for some, and for one give the same levels; so do many small blocks."""
+    rng = random.Random(8)
+    rows = [(i, t, la) for i, t, la, _ in corpus(rng, 60)]
+    labels = [(i, b) for i, _, _, b in corpus(random.Random(8), 60)][:25]
+    whole = levels(spark, rows, labels)
+    monkeypatch.setattr(reading, "BLOCK_WORDS", 300)
+    assert levels(spark, rows, labels) == whole
+    assert levels(spark, rows, labels, head_most=20) == whole
+    assert levels(spark, rows, labels, head_most=1) == whole
+
+
+def test_harmonic_values_against_brute_force(spark):
+    """Converged values solve the harmonic equations on a small graph."""
+    rows = [(1, "a b c " * 20, "en"), (2, "c d e " * 20, "en"), (3, "a c e f " * 15, "en"), (4, "d e f hapax " + "f " * 50, "en")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc long, text string").withColumn("grade", F.when(F.col("doc") == 1, 0.0).when(F.col("doc") == 2, 1.0))
+    graph = reading.build_graph(reading.materialize(reading.word_blocks(docs, 1), "t"))
+    value, tail, rounds, moved = reading.propagate(graph)
+    assert tail is None and moved < reading.CHANGE_LEAST and rounds > 1 and graph.documents == 4 and len(value) == 5
+    counts = {i: {w: t.split().count(w) for w in set(t.split())} for i, t, _ in rows}
+    names = [w for _, w in sorted((-sum(w in c for c in counts.values()), w) for w in "acdef")]
+    idf = {w: np.log(4 / sum(w in c for c in counts.values())) for w in names}
+    g, score = dict.fromkeys(names, 0.5), {1: 0.0, 2: 1.0}
+    for _ in range(500):
+        for i in (3, 4):
+            score[i] = sum(counts[i].get(w, 0) * idf[w] * g[w] for w in names) / sum(counts[i].get(w, 0) * idf[w] for w in names)
+        g = {w: sum(c.get(w, 0) * score[i] for i, c in counts.items()) / sum(c.get(w, 0) for c in counts.values()) for w in names}
+    assert np.abs(value - [g[w] for w in names]).max() < 0.02
+
+
 def test_without_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "word " * 60, "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, band string")
