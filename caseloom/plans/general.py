@@ -59,9 +59,9 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_table(spark: SparkSession, sf: str) -> DataFrame:
-    _, schemas, report = _drift(spark, sf)
+    epochs, schemas, report = _drift(spark, sf)
     columns = drift.unified_columns(schemas, report)
-    return drift.unified_table(load_table(spark, sf, "complaint_feed"), "payload", "source_file", ["feed_id", "source_file", "delivered_at", "line_no"], columns)
+    return drift.unified_table(load_table(spark, sf, "complaint_feed"), epochs, "payload", "source_file", ["feed_id", "source_file", "delivered_at", "line_no"], columns)
 
 
 MAKE_MODEL_COUNT, MFR_SHARE = "prior_cmpl_make_model_all", "prior_severity_share_mfr_all"
