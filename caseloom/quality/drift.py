@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.session import materialize, spread
+from caseloom.session import materialize
 
 TEXT, WHOLE, DECIMAL, FLAG = "text", "whole number", "decimal number", "true/false"
 KAPPA_LEAST, MATCHES_LEAST, OVERLAP_LEAST = 0.75, 4, 0.8  # MATCHES_LEAST: records beyond those expected to agree by chance
+BROADCAST_ROWS = 100_000
 REPORT_SCHEMA = "source_file string, load_seq int, position int, change_kind string, field_name string, old_name string, old_type string, new_type string, evidence string"
 
 SPARK_TYPE = {TEXT: "string", WHOLE: "bigint", DECIMAL: "double", FLAG: "boolean"}
@@ -42,7 +43,7 @@ def join_types(a: str | None, b: str | None) -> str | None:
 def explode_records(df: DataFrame, payload: str, file_field: str, record_key: str | None = None) -> DataFrame:
     """Rows (file, rec, field, val), val a VARIANT; one per key that a record names."""
     spark = df.sparkSession
-    parsed = spread(df.select(F.col(file_field).alias("file"), F.col(payload).alias("payload"))).select("file", F.try_parse_json("payload").alias("v"))
+    parsed = df.select(F.col(file_field).alias("file"), F.try_parse_json(F.col(payload)).alias("v"))
     rec = F.try_variant_get("v", f"$.{record_key}", "string") if record_key else F.lit(None).cast("string")
     long = parsed.withColumn("rec", rec).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
     return long.select("file", "rec", F.col("key").alias("field"), F.col("value").alias("val")).filter(F.col("field").isNotNull())
@@ -125,19 +126,21 @@ def epoch_schemas(fields: DataFrame, epochs: DataFrame) -> list[FileSchema]:
 
 
 def candidate_values(df: DataFrame, payload: str, file_field: str, record_key: str, pairs: list[tuple[str, str, str, str]]) -> DataFrame:
-    """(now, side, field, rec, value): the values of lost fields in the file before, and of new fields in the file itself."""
+    """(now, side, field, rec, raw): the values of lost fields in the file before, and of new fields in the file itself, as written."""
     spark = df.sparkSession
     wanted = sorted({(b, lo, n, "a") for b, lo, n, _ in pairs} | {(n, fr, n, "b") for _, _, n, fr in pairs})
-    small = spark.createDataFrame(wanted, "file string, field string, now string, side string")  # the fields that came or went
-    here = df.join(small.select(F.col("file").alias(file_field)).distinct(), file_field, "left_semi")
+    bounded = F.broadcast if len(wanted) <= BROADCAST_ROWS else (lambda x: x)  # counted: the fields that came or went
+    small = bounded(spark.createDataFrame(wanted, "file string, field string, now string, side string"))
+    names = bounded(spark.createDataFrame([(f,) for f in sorted({w[0] for w in wanted})], "_file string"))
+    here = df.join(names, F.col(file_field) == F.col("_file"), "left_semi")
     long = explode_records(here, payload, file_field, record_key).join(small, ["file", "field"])
-    return long.select("now", "side", "field", "rec", canonical(F.try_variant_get("val", "$", "string")).alias("value")).filter(F.col("value").isNotNull())
+    return long.filter(~F.is_variant_null("val")).select("now", "side", "field", "rec", F.try_variant_get("val", "$", "string").alias("raw"))
 
 
 def rename_evidence(values: DataFrame) -> dict[tuple[str, str, str], tuple[float, str]]:
     """How well the content of each (file, lost field, new field) agrees, from 0 to 1, and by which test."""
     key = ["now", "lost", "fresh"]
-    once = values.filter(F.col("rec").isNotNull()).groupBy("now", "rec", "side", "field").agg(F.min("value").alias("value"))
+    once = values.filter(F.col("rec").isNotNull()).groupBy("now", "rec", "side", "field").agg(F.min("raw").alias("raw")).select("now", "rec", "side", "field", canonical(F.col("raw")).alias("value"))
     entries = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("field", "value")))
     met = once.groupBy("now", "rec").agg(entries("a").alias("old"), entries("b").alias("new"))  # at most the fields that came or went
     cells = met.select("now", F.explode("old").alias("o"), "new").select("now", "o", F.explode("new").alias("n"))
@@ -158,10 +161,11 @@ def rename_evidence(values: DataFrame) -> dict[tuple[str, str, str], tuple[float
 def distribution_overlap(values: DataFrame, missing: list[tuple[str, str, str]]) -> dict[tuple[str, str, str], tuple[float, str]]:
     """The overlap of the values' and shapes' distributions of (file, lost, new), for pairs that records cannot decide."""
     spark = values.sparkSession
+    values = values.groupBy("now", "side", "field", "raw").agg(F.count(F.lit(1)).alias("n")).withColumn("value", canonical(F.col("raw")))
     shape = F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), "[a-z]+", "a")
     # texts draw few distinct values at random, so shapes count as the floor and equal values as the ceiling
-    drawn = values.select("now", "side", "field", F.explode(F.array(F.struct(F.lit("v").alias("part"), F.col("value").alias("v")), F.struct(F.lit("s").alias("part"), shape.alias("v")))).alias("e"))
-    counts = drawn.groupBy("now", "side", "field", "e.part", "e.v").agg(F.count(F.lit(1)).alias("n"))
+    drawn = values.select("now", "side", "field", "n", F.explode(F.array(F.struct(F.lit("v").alias("part"), F.col("value").alias("v")), F.struct(F.lit("s").alias("part"), shape.alias("v")))).alias("e"))
+    counts = drawn.groupBy("now", "side", "field", "e.part", "e.v").agg(F.sum("n").alias("n"))
     total = counts.groupBy("now", "side", "field", "part").agg(F.sum("n").alias("total"))
     shares = counts.join(total, ["now", "side", "field", "part"]).select("now", "side", "field", "part", "v", (F.col("n") / F.col("total")).alias("share"))
     pairs = spark.createDataFrame(missing, "now string, lost string, fresh string")
