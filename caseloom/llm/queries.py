@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from caseloom.llm import bpe, packing, pii, reading, survivor, terms
 from caseloom.operators.packed import known_values
-from caseloom.session import load_table, ship_package, spread
+from caseloom.session import load_table, materialize, ship_package, spread
 
 SURVIVOR_PATTERNS = {"miles": "[0-9]{1,7}", "veh_speed": "[0-9]{1,3}", "yeartxt": "[0-9]{4}", "deaths": "[0-9]{1,2}", "injured": "[0-9]{1,2}"}
-#: Trust in the loads of complaints; loads not named here have trust 1.
-SOURCE_TRUST: dict[str, float] = {}
 
 
 #: Key of the pseudonyms; give another one in production (the query's result does not depend on it, the redacted text does).
@@ -44,16 +42,24 @@ def _labels(spark: SparkSession, sf: str) -> list[str]:
     return known_values(load_table(spark, sf, "component_labels"), ["label_text", "component_group"])
 
 
-def _loads(spark: SparkSession, sf: str) -> DataFrame:
-    return load_table(spark, sf, "source_files").filter("table_name = 'complaints'").select("source_file", "delivered_at")
+def _weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of the loads, a row each, written once."""
+    loads = load_table(spark, sf, "source_files").filter("table_name = 'complaints'").select("source_file", "delivered_at")
+    trust = survivor.load_trust(load_table(spark, sf, "complaints"), "source_file", SURVIVOR_PATTERNS)
+    return materialize(survivor.load_weights(loads, trust), "load-weights")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return survivor.duplicate_pairs(load_table(spark, sf, "complaints"), "cmplid", "odino", "compdesc", _labels(spark, sf), "source_file", _loads(spark, sf), SOURCE_TRUST)
+    return survivor.duplicate_pairs(load_table(spark, sf, "complaints"), "cmplid", "odino", "compdesc", _labels(spark, sf), "source_file", _weights(spark, sf))
 
 
 def p6_survivors(spark: SparkSession, sf: str) -> DataFrame:
-    return survivor.survivors(load_table(spark, sf, "complaints"), "cmplid", "odino", "compdesc", _labels(spark, sf), "source_file", _loads(spark, sf), SOURCE_TRUST, SURVIVOR_PATTERNS)
+    return survivor.survivors(load_table(spark, sf, "complaints"), "cmplid", "odino", "compdesc", _labels(spark, sf), "source_file", _weights(spark, sf), SURVIVOR_PATTERNS)
+
+
+def p6_trust(spark: SparkSession, sf: str) -> DataFrame:
+    """The trust in each load that weighs the votes."""
+    return survivor.load_trust(load_table(spark, sf, "complaints"), "source_file", SURVIVOR_PATTERNS).withColumnRenamed("_src", "source_file")
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +89,7 @@ def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_terms, p6_found, p6_survivors, p8_ids, p9_packed, p9_report, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_terms, p6_found, p6_survivors, p6_trust, p8_ids, p9_packed, p9_report, p10_found, p10_levels)}
 
 _P4 = r"""
 WITH t AS (SELECT rid, unnest(regexp_extract_all(lower(cdescr), '[\p{L}\p{N}]{2,}')) AS term
@@ -92,6 +98,8 @@ c AS (SELECT term, count(*) AS occurrences, count(DISTINCT rid) AS records FROM
 v AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records * 5 > (SELECT count(cdescr) FROM complaints) THEN 'common' ELSE 'usual' END AS verdict FROM c)
 """
 
-SQL = {"p4_found": _P4 + "SELECT term, verdict FROM v WHERE verdict <> 'usual'", "p4_terms": _P4 + "SELECT * FROM v"}
+_P6_TRUST = "SELECT source_file, round(sum(" + " + ".join(f"coalesce(regexp_full_match(trim({f}, ' '), '{p}'), false)::INT" for f, p in SURVIVOR_PATTERNS.items()) + f") / (count(*) * {len(SURVIVOR_PATTERNS)}), 6) AS trust FROM complaints GROUP BY source_file"
+
+SQL = {"p6_trust": _P6_TRUST, "p4_found": _P4 + "SELECT term, verdict FROM v WHERE verdict <> 'usual'", "p4_terms": _P4 + "SELECT * FROM v"}
 
 MODULES = [SimpleNamespace(QUERIES=QUERIES, SQL=SQL)]

@@ -2,7 +2,8 @@
 
 Records that report the same complaint about the same components form a group. Its fields are unpivoted to long rows
 (group, field, value); each row votes for its *normalised* value with source trust x recency decay, votes are summed per value
-(map-side first), the winner of each field is taken by max_by, and the winners are pivoted back to one record. Groups of one
+(map-side first), the winner of each field is taken by max_by, and the winners are pivoted back to one record. The trust in a
+load is the share of its values that are there and fit their pattern. The record number voted for represents the group. Groups of one
 record need no vote and pass through as they are.
 
 Group keys are found from three narrow columns; only members of groups of two or more are unpivoted. All steps are hash
@@ -10,8 +11,8 @@ aggregations with map-side combination, so one group may hold any share of the r
 
 Defined results: missing (null or blank) values do not vote, a field without a vote comes out null; a value that violates the
 field's pattern counts a hundredth; equal sums go to the more recent value and then to the greater one; rows repeated whole vote
-once; rows without complaint number or without components are groups of their own; an unknown source has trust 1 and the age of
-the oldest; extra columns are treated as any other field.
+once; rows without complaint number or without components are groups of their own; a load unknown to the table of loads has
+its own trust and the age of the oldest, a null one trust 1; extra columns are treated as any other field.
 """
 
 from __future__ import annotations
@@ -51,22 +52,36 @@ def normalised(field: str, value: Column, patterns: Mapping[str, str], numbers:
     """Value as compared in the vote: complaint numbers by digits, numeric fields by number, others without case and spacing."""
     plain = F.upper(F.trim(F.regexp_replace(value, r"\s+", " ")))
     if field in numbers:
-        return F.coalesce(F.regexp_replace(plain, "[, ]", "").try_cast("decimal(18,3)").cast("long").cast("string"), plain)
+        return F.coalesce(F.regexp_replace(F.regexp_replace(plain, "[, ]", "").try_cast("decimal(18,3)").cast("string"), r"\.?0+$", ""), plain)
     if field == "odino":
         return F.coalesce(complaint_number(value), plain)
     return plain
 
 
-def field_votes(members: DataFrame, fields: list[str], source: str, sources: DataFrame, trust: Mapping[str, float], patterns: Mapping[str, str], numbers: tuple[str, ...] = ("miles", "veh_speed")) -> DataFrame:
-    """Votes (_group, field, norm, raw, votes, latest); ``sources`` has (source_file, delivered_at) and is a small fixed table."""
+def load_trust(df: DataFrame, source: str, patterns: Mapping[str, str]) -> DataFrame:
+    """(source, trust): the share of a load's values in the fields with a pattern that are there and fit it, over all rows.
+
+    One row per load; a load without rows has no trust of its own and counts as 1, as does a null source.
+    """
+    fits = [F.coalesce(F.trim(F.col(f).cast("string")).rlike(f"^(?:{p})$"), F.lit(False)).cast("int") for f, p in patterns.items()]
+    return df.groupBy(F.col(source).alias("_src")).agg(F.round(F.sum(sum(fits[1:], fits[0])) / (F.count(F.lit(1)) * len(fits)), 6).alias("trust"))
+
+
+def load_weights(sources: DataFrame, trust: DataFrame) -> DataFrame:
+    """(_src, _w, _at): trust times the decay of age, a row per load; ``sources`` has (source_file, delivered_at)."""
     span = sources.groupBy(F.col("source_file").alias("_src")).agg(F.max("delivered_at").alias("_at"))
     ends = span.agg(F.max("_at").alias("_newest"), F.min("_at").alias("_oldest"))
-    table = span.crossJoin(F.broadcast(ends))  # one row beside a fixed table
-    trusts = F.create_map(*[F.lit(x) for kv in trust.items() for x in kv]) if trust else None
-    rows = members.select("_group", *fields, *([source] if source not in fields else [])).distinct()  # rows repeated whole vote once
-    joined = rows.join(F.broadcast(table), rows[source] == table["_src"], "left")
+    table = trust.join(span, "_src", "full").crossJoin(F.broadcast(ends))  # one row beside a row per load
     age = F.coalesce(F.datediff("_newest", "_at"), F.datediff("_newest", "_oldest"), F.lit(0))
-    weight = F.pow(F.lit(0.5), age / F.lit(HALF_LIFE_DAYS)) * (F.coalesce(F.element_at(trusts, F.col(source)), F.lit(1.0)) if trusts is not None else F.lit(1.0))
+    return table.select("_src", (F.pow(F.lit(0.5), age / F.lit(HALF_LIFE_DAYS)) * F.coalesce("trust", F.lit(1.0))).alias("_w"), "_at", F.pow(F.lit(0.5), F.coalesce(F.datediff("_newest", "_oldest"), F.lit(0)) / F.lit(HALF_LIFE_DAYS)).alias("_w_oldest"))
+
+
+def field_votes(members: DataFrame, fields: list[str], source: str, weights: DataFrame, patterns: Mapping[str, str], numbers: tuple[str, ...] = ("miles", "veh_speed")) -> DataFrame:
+    """Votes (_group, field, norm, raw, votes, latest) by the weights of the rows' loads (``load_weights``)."""
+    oldest = weights.agg(F.min("_w_oldest").alias("_least"))
+    rows = members.select("_group", *fields, *([source] if source not in fields else [])).distinct()  # rows repeated whole vote once
+    joined = rows.join(weights, rows[source] == weights["_src"], "left").crossJoin(F.broadcast(oldest))  # one row
+    weight = F.coalesce("_w", "_least", F.lit(1.0))
 
     def entry(f: str) -> Column:
         fits = F.when(F.trim(F.col(f)).rlike(f"^(?:{patterns[f]})$"), 1.0).otherwise(VIOLATION_WEIGHT) if f in patterns else F.lit(1.0)
@@ -96,20 +111,30 @@ def duplicate_members(df: DataFrame, record: str, number: str, components: str,
     return ends.filter(~F.col("a").eqNullSafe(F.col("b"))).select("_group", "n_rows")
 
 
-def survivors(df: DataFrame, record: str, number: str, components: str, known: list[str], source: str, sources: DataFrame, trust: Mapping[str, float], patterns: Mapping[str, str]) -> DataFrame:
+def survivors(df: DataFrame, record: str, number: str, components: str, known: list[str], source: str, weights: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
     """One record per group of duplicates: ``n_rows`` and every field of ``df`` with its winning value."""
     fields = df.columns
     groups = materialize(duplicate_members(df, record, number, components, known), "dup-groups")
     members = with_group(df, number, components, known).join(groups.select("_group"), "_group", "left_semi")
-    won = winners(field_votes(members, fields, source, sources, trust, patterns))
+    won = winners(field_votes(members, fields, source, weights, patterns))
     return pivot_back(won, fields).join(groups, "_group").drop("_group")
 
 
-def duplicate_pairs(df: DataFrame, record: str, number: str, components: str, known: list[str], source: str, sources: DataFrame, trust: Mapping[str, float]) -> DataFrame:
-    """Pairs of different records of a group: the candidates that voted for the group's record number, paired in order."""
+def memberships(df: DataFrame, record: str, number: str, components: str, known: list[str], source: str, weights: DataFrame) -> DataFrame:
+    """(record, representative, n_records) of every record in a group of two or more: the representative is the record number
+    that the group's rows vote for, by trust and recency."""
     keyed = with_group(df.select(record, number, components, source), number, components, known).filter(F.col("_group").isNotNull() & F.col(record).isNotNull())
-    votes = materialize(field_votes(keyed, [record], source, sources, trust, {}).select("_group", F.col("raw").alias("id")).distinct(), "id-votes")
-    several = votes.groupBy("_group").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("_group")
-    ids = votes.join(several, "_group", "left_semi")
-    left, right = ids.withColumnRenamed("id", "cmplid_a"), ids.withColumnRenamed("id", "cmplid_b")
-    return left.join(right, "_group").filter("cmplid_a < cmplid_b").select("cmplid_a", "cmplid_b")
+    votes = materialize(field_votes(keyed, [record], source, weights, {}), "id-votes")
+    won = winners(votes).select("_group", F.col("value").alias("representative"))
+    sizes = votes.groupBy("_group").agg(F.countDistinct("raw").alias("n_records")).filter("n_records > 1")
+    return votes.select("_group", F.col("raw").alias(record)).distinct().join(won.join(sizes, "_group"), "_group").select(record, "representative", "n_records", "_group")
+
+
+def duplicate_pairs(df: DataFrame, record: str, number: str, components: str, known: list[str], source: str, weights: DataFrame) -> DataFrame:
+    """Pairs of different records of a group, the lesser first: each member with its representative, and the other members with
+    one another where there are more than two records."""
+    member = materialize(memberships(df, record, number, components, known, source, weights), "dup-memberships")
+    star = member.filter(F.col(record) != F.col("representative")).select(F.least(record, "representative").alias("cmplid_a"), F.greatest(record, "representative").alias("cmplid_b"))
+    rest = member.filter((F.col("n_records") > 2) & (F.col(record) != F.col("representative"))).select("_group", F.col(record).alias("id"))
+    left, right = rest.withColumnRenamed("id", "cmplid_a"), rest.withColumnRenamed("id", "cmplid_b")
+    return star.unionByName(left.join(right, "_group").filter("cmplid_a < cmplid_b").select("cmplid_a", "cmplid_b"))
