@@ -125,8 +125,10 @@ def memberships(df: DataFrame, record: str, number: str, components: str, known:
     that the group's rows vote for, by trust and recency."""
     keyed = with_group(df.select(record, number, components, source), number, components, known).filter(F.col("_group").isNotNull() & F.col(record).isNotNull())
     votes = materialize(field_votes(keyed, [record], source, weights, {}), "id-votes")
+    several = votes.groupBy("_group").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).filter("a <> b").select("_group")
+    votes = materialize(votes.join(several, "_group", "left_semi"), "dup-votes")  # most groups are of one record
     won = winners(votes).select("_group", F.col("value").alias("representative"))
-    sizes = votes.groupBy("_group").agg(F.countDistinct("raw").alias("n_records")).filter("n_records > 1")
+    sizes = votes.groupBy("_group").agg(F.countDistinct("raw").alias("n_records"))
     return votes.select("_group", F.col("raw").alias(record)).distinct().join(won.join(sizes, "_group"), "_group").select(record, "representative", "n_records", "_group")
 
 
