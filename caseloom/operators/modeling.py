@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -112,14 +113,16 @@ def fit_logistic(train: DataFrame, features: str = "features", label: str = "lab
     return LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", regParam=strength, maxIter=iterations).fit(data)
 
 
-def fit_one_vs_rest(train: DataFrame, labels: str, vocabulary: list[str], features: str = "features", strength: float = 1e-4) -> dict[str, object]:
-    """One balanced binary model per label of an array column; labels without both classes are left out."""
-    models = {}
-    for name in vocabulary:
-        binary = train.withColumn("label", F.array_contains(labels, name).cast("double"))
-        if binary.agg(F.countDistinct("label")).first()[0] == 2:
-            models[name] = fit_logistic(binary, features, "label", strength)
-    return models
+def fit_one_vs_rest(train: DataFrame, labels: str, vocabulary: list[str], features: str = "features", strength: float = 1e-4, threads: int = 4) -> dict[str, object]:
+    """One balanced binary model per label of an array column, several fits at a time; labels without both classes are left out."""
+    counts = train.agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(F.array_contains(labels, name)).alias(f"_{i}") for i, name in enumerate(vocabulary)]).first()
+    both = [name for i, name in enumerate(vocabulary) if 0 < counts[f"_{i}"] < counts["_all"]]
+
+    def one(name: str):
+        return name, fit_logistic(train.withColumn("label", F.array_contains(labels, name).cast("double")), features, "label", strength)
+
+    with ThreadPoolExecutor(threads) as pool:
+        return dict(pool.map(one, both))
 
 
 def score_one_vs_rest(df: DataFrame, models: dict[str, object], key: str, features: str = "features") -> DataFrame:
@@ -132,7 +135,8 @@ def score_one_vs_rest(df: DataFrame, models: dict[str, object], key: str, featur
 
 
 def fit_boosted(train: DataFrame, features: str = "features", label: str = "label", rounds: int = 20, depth: int = 5):
-    return GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=depth, seed=7).fit(train)
+    weighted = {"weightCol": "weight"} if "weight" in train.columns else {}
+    return GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=depth, seed=7, **weighted).fit(train)
 
 
 def best_rounds(model, valid: DataFrame) -> int:

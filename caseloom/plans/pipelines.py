@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as X
 from caseloom.functions.columns import word_count
-from caseloom.operators import cases, cleaning, evaluation, features, modeling, watchlist
+from caseloom.operators import cases, cleaning, evaluation, features, fusion, modeling, watchlist
 from caseloom.sources import sinks
 
 LEAST_WORDS = 5
@@ -74,3 +74,45 @@ def severity_benchmark(severity: DataFrame, categories: list[str], numbers: list
     by = ["split"]
     metrics = evaluation.score_summary(scores, "score", "truth", by).join(evaluation.average_precision(scores, "score", "truth", by), by).join(evaluation.roc_auc(scores, "score", "truth", by), by)
     return scores, metrics
+
+
+def _stages(rows: DataFrame) -> DataFrame:
+    """Adds ``split``: develop before 2025, select in 2025, holdout since; rows without a date belong to none."""
+    split = features.split_column(F.col("ldate"), "benchmark_v1")
+    return rows.withColumn("split", F.when(split == "train", "develop").when(split == "valid_2025", "select").when(split == "holdout_2026", "holdout")).filter("split IS NOT NULL")
+
+
+def component_single(single: DataFrame, label: str, text: str, categories: list[str], numbers: list[str], key: str = "odino", **options) -> tuple[DataFrame, DataFrame, dict]:
+    """(holdout probabilities, metrics overall and for texts seen before or not, choices) of the fused one-component model."""
+    rows = _stages(single)
+    earlier = rows.filter("split <> 'holdout'").select(F.xxhash64(text).alias("_h"), F.lit(True).alias("_seen")).filter(F.col("_h").isNotNull()).distinct()
+    marked = rows.withColumn("_h", F.xxhash64(text)).join(earlier, "_h", "left").withColumn("text_seen_flag", F.col("_seen").isNotNull() & F.col(text).isNotNull()).drop("_h", "_seen")
+    return fusion.single_label_run(marked, label, text, categories, numbers, key, seen="text_seen_flag", **options)
+
+
+def component_multi(multi: DataFrame, labels: str, text: str, categories: list[str], numbers: list[str], key: str = "odino", **options) -> tuple[DataFrame, DataFrame, dict]:
+    """(holdout decodings, metrics, choices) of the fused many-component model; ``labels`` is an array column."""
+    return fusion.multi_label_run(_stages(multi), labels, text, categories, numbers, key, **options)
+
+
+def severity_fusion(severity: DataFrame, text: str, categories: list[str], numbers: list[str], key: str = "odino", target: str = "severity_primary_flag", least_df: int = 5, vocabulary: int = 30_000, characters: bool = True) -> tuple[DataFrame, DataFrame, dict]:
+    """(scores, metrics per split, choices): a text and a structured model blended by the weight of best average precision in
+    2025, then calibrated there by a sigmoid of the log odds (which keeps the order, so recall within a budget stays)."""
+    rows = _stages(severity.filter(F.col(target).isNotNull())).withColumn("model_text", X.severity_text(F.col(text)))
+    rows = fusion.with_terms(rows, "model_text", characters=characters).withColumn("label", F.col(target).cast("double"))
+    train = rows.filter("split = 'develop'")
+    words, table = fusion.text_pipeline("words", "grams" if characters else None, least_df, vocabulary=vocabulary).fit(train), modeling.structured_pipeline(categories, numbers).fit(train)
+    ready = modeling.materialize(table.transform(words.transform(rows)).select(key, "split", "label", "text_features", "features"), "severity-features")
+    scored = ready.filter("split <> 'develop'")
+    for name, column in (("p_text", "text_features"), ("p_table", "features")):
+        scored = modeling.fit_logistic(ready.filter("split = 'develop'"), column).transform(scored).withColumn(name, modeling.vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    scored = modeling.materialize(scored.select(key, "split", "label", (F.col("label") == 1).alias("truth"), "p_text", "p_table"), "severity-scores")
+    grid = scored.filter("split = 'select'").select("truth", F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), (F.col("p_text") * w + F.col("p_table") * (1 - w)).alias("score")) for w in fusion.WEIGHTS])).alias("x")).select("truth", "x.*")
+    weight = evaluation.average_precision(grid, "score", "truth", ["weight"]).orderBy(F.col("pr_auc").desc(), "weight").first()["weight"]
+    raw = scored.withColumn("score", F.col("p_text") * weight + F.col("p_table") * (1 - weight))
+    odds = raw.withColumn("odds", F.log(F.greatest("score", F.lit(1e-9)) / F.greatest(1 - F.col("score"), F.lit(1e-9))))
+    slope, intercept = modeling.platt(odds.filter("split = 'select'").select("odds", "label"), "odds", "label")
+    final = odds.select(key, "split", "truth", F.round(evaluation.sigmoid(F.col("odds") * slope + intercept), 9).alias("score"))
+    by = ["split"]
+    metrics = evaluation.score_summary(final, "score", "truth", by).join(evaluation.average_precision(final, "score", "truth", by), by).join(evaluation.roc_auc(final, "score", "truth", by), by)
+    return final, metrics, {"weight": weight, "slope": slope, "intercept": intercept}
