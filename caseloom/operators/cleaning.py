@@ -125,8 +125,8 @@ def assert_unique(df: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"keys {keys} repeat, as in {[tuple(r[:-1]) for r in again]}")
 
 
-def component_rows(df: DataFrame) -> DataFrame:
-    """Vehicle rows with a component: normalised label, group, drop reason, size of the group among kept rows."""
+def component_rows(df: DataFrame, sizes: bool = True) -> DataFrame:
+    """Vehicle rows with a component: normalised label, group, drop reason and, if asked for, size of the group among kept rows."""
     rows = df.filter((F.col("prod_type") == "V") & F.col("compdesc").isNotNull())
     label = C.component_label(F.col("compdesc"))
     parent = F.trim(F.split(F.col("component_label"), ":", 2)[0])
@@ -137,5 +137,7 @@ def component_rows(df: DataFrame) -> DataFrame:
         .when(F.col("component_parent").isin(*C.CHILD_SEAT_PARENTS), "child_restraint")
     )
     rows = rows.withColumn("component_drop_reason", reason).withColumn("component_keep_flag", F.col("component_drop_reason").isNull())
-    sizes = rows.filter("component_keep_flag").groupBy("component_group").agg(F.count(F.lit(1)).alias("component_group_rows"))
-    return rows.join(sizes, "component_group", "left")  # a handful of groups: planned as a broadcast by its size
+    if not sizes:
+        return rows
+    counted = rows.filter("component_keep_flag").groupBy("component_group").agg(F.count(F.lit(1)).alias("component_group_rows"))
+    return rows.join(counted, "component_group", "left")  # a handful of groups: planned as a broadcast by its size

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.columns import format_year
 from caseloom.operators.cases import sorted_distinct_text
+from caseloom.session import materialize
 
 COHORT = ["maketxt", "modeltxt", "yeartxt", "component_group", "topic_id", "topic_label", "topic_category", "watchlist_group"]
 RATES = {"severity_broad_rate": "severity_broad_flag", "critical_event_near_operation_rate": "critical_event_near_operation_flag", "in_operation_rate": "in_operation_flag", "highway_rate": "highway_flag", "high_speed_rate": "high_speed_flag"}
@@ -38,13 +39,18 @@ def same_keys(a: DataFrame, b: DataFrame, keys: Iterable[str], prefix: str = "_k
     return reduce(lambda x, y: x & y, [a[c].eqNullSafe(right[prefix + c]) for c in names]), right, [prefix + c for c in names]
 
 
-def cohort_months(rows: DataFrame, cohort: list[str], entity: str = "odino", rates: dict[str, str] | None = None) -> DataFrame:
-    """Observed months: distinct entities and states, mean topic strength, and rates of the boolean columns there are."""
+def cohort_months(rows: DataFrame, cohort: list[str], entity: str = "odino", rates: dict[str, str] | None = None, names: str | None = None) -> DataFrame:
+    """Observed months: distinct entities and states, mean topic strength, and rates of the boolean columns there are.
+
+    ``names``: a column whose distinct trimmed texts are gathered as ``_names``.
+    """
     rates = {k: v for k, v in (RATES if rates is None else rates).items() if v in rows.columns}
     aggregates = [F.countDistinct(entity).alias("complaints"), F.countDistinct("state").alias("unique_states")]
     if "topic_strength" in rows.columns:
         aggregates.append(F.avg("topic_strength").alias("avg_topic_strength"))
     aggregates += [F.avg(F.col(c).cast("int")).alias(r) for r, c in rates.items()]
+    if names:
+        aggregates.append(F.collect_set(F.nullif(F.trim(names), F.lit(""))).alias("_names"))
     return rows.filter(F.col("month").isNotNull()).groupBy("month", *cohort).agg(*aggregates)
 
 
@@ -137,10 +143,15 @@ def with_month_rank(df: DataFrame, cohort: list[str]) -> DataFrame:
 
 
 def monthly_series(rows: DataFrame, cohort: list[str] | None = None, growth_least: float = GROWTH_LEAST) -> DataFrame:
-    """The scored dense series of all cohorts, with the cohort's manufacturers joined in one text."""
+    """The scored dense series of all cohorts, with the cohort's manufacturers joined in one text.
+
+    The observed months are aggregated once, manufacturers along with them, and written; first months, calendar and names
+    come from that small table. Names of rows without a month do not count.
+    """
     cohort = cohort or COHORT
-    meta = rows.groupBy(*cohort).agg(sorted_distinct_text(F.col("mfr_name"), " | ").alias("mfr_name"))
-    series = add_score(add_emerging(add_growth(complete_months(cohort_months(rows, cohort), cohort), cohort), growth_least))
+    months = materialize(cohort_months(rows, cohort, names="mfr_name"), "cohort-months")
+    meta = months.groupBy(*cohort).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_names")))), " | ").alias("mfr_name"))
+    series = add_score(add_emerging(add_growth(complete_months(months.drop("_names"), cohort), cohort), growth_least))
     on, right, gone = same_keys(series, meta, cohort, "_m_")
     return series.join(right, on, "left").drop(*gone)
 

@@ -25,7 +25,7 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.component_rows(_clean(spark, sf)).filter("component_keep_flag")
+    return cleaning.component_rows(_clean(spark, sf), sizes=False).filter("component_keep_flag")
 
 
 def clean_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,7 +182,8 @@ def risk_monitor(spark: SparkSession, sf: str, coarse: bool = True) -> DataFrame
 def watchlist_summary(spark: SparkSession, sf: str) -> DataFrame:
     rows = _topic_rows(spark, sf, coarse=False)
     watch, _ = watchlist.watchlist_views(watchlist.monthly_series(rows))
-    return watchlist.watchlist_summary(rows, watch)
+    out = watchlist.watchlist_summary(rows, watch)
+    return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
 
 
 def recurring_signals(spark: SparkSession, sf: str, coarse: bool = True) -> DataFrame:

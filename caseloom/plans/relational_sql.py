@@ -179,7 +179,56 @@ def _quality() -> str:
 _RANKED = _SCORES + ", c AS (SELECT yr, score, count(*) AS n, count(*) FILTER (truth) AS p FROM s GROUP BY ALL), r AS (SELECT *, coalesce(sum(n) OVER d, 0) AS an, coalesce(sum(p) OVER d, 0) AS ap, sum(n) OVER (PARTITION BY yr) AS tn, sum(p) OVER (PARTITION BY yr) AS tp FROM c WINDOW d AS (PARTITION BY yr ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))\n"
 _PAIRS = [("train", "valid_2025", "2025-01-01", "2026-01-01"), ("train_core", "screen_2024", "2024-01-01", "2025-01-01"), ("dev_2020_2024", "select_2025", "2025-01-01", "2027-01-01")]
 
+
+
+def _cleaning_metrics() -> str:
+    """Every metric of the cleaning summary: flags of typed values (t), and of values after the unusable ones are nulled (clean)."""
+    year = "yeartxt BETWEEN 1900 AND 2027"
+    typed = {
+        "flag_prod_type_bad": f"prod_type NOT IN ({_list(C.PRODUCT_TYPES)})", "flag_year_unknown": "yeartxt = 9999", "flag_speed_high": "veh_speed > 200", "flag_miles_high": "miles > 500000", "flag_injured_99": "injured = 99", "flag_deaths_99": "deaths = 99",
+        "flag_dealer_state_bad": f"dealer_state NOT IN ({_list(C.POSTAL_CODES)})", "flag_fail_after_added": "faildate > datea", "flag_fail_after_received": "faildate > ldate", "flag_added_before_received": "datea < ldate",
+        "flag_fail_old_new_vehicle": f"{year} AND yeartxt >= 1990 AND year(faildate) < 1990", "flag_fail_pre_model_far": f"{year} AND year(faildate) < yeartxt - 5", "miles_missing_flag": "coalesce(miles, 0) = 0", "veh_speed_zero_flag": "veh_speed = 0", "veh_speed_missing_flag": "coalesce(veh_speed, 0) IN (0, 999)",
+    }
+    later = {**{c: c for c in _FLAG_NAMES}, "faildate_untrusted_flag": "NOT faildate_trusted_flag"}
+    rows = ["SELECT 'rows' AS metric, count(*) AS value FROM t", "SELECT 'cases', count(DISTINCT odino) FROM t"]
+    rows += [f"SELECT '{n}', count(*) FILTER ({e}) FROM t" for n, e in typed.items()] + [f"SELECT '{n}', count(*) FILTER ({e}) FROM clean" for n, e in later.items()]
+    return _CLEAN + " UNION ALL ".join(rows)
+
+
+def _context_flags() -> str:
+    """Places of matches from the lengths of what lies between them; a flag never null."""
+    operation, critical, highway = (compact(p) for p in (X.IN_OPERATION, X.CRITICAL, X.HIGHWAY))
+    between = lambda p: f"regexp_extract_all(cdescr, '(?is)(.*?)(?:{p.removeprefix('(?i)')})', 1)"
+    places = lambda n: f"list_transform(range(1, len({n}m) + 1), lambda i: coalesce(list_sum(list_transform({n}b[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform({n}m[1:i - 1], lambda x: length(x))), 0)) AS {n}s"
+    close = "list_transform(range(1, len(cm) + 1), lambda i: len(list_filter(range(1, len(om) + 1), lambda j: abs(cs[i] - os[j]) <= 160 OR abs(cs[i] + length(cm[i]) - os[j] - length(om[j])) <= 160)) > 0)"
+    speeds = f"list_max(list_transform(regexp_extract_all(cdescr, '{X.SPEED}', 1), lambda x: try_cast(x AS INTEGER)))"
+    return (
+        f"WITH m AS (SELECT odino, cdescr, {between(critical)} AS cb, regexp_extract_all(cdescr, '{critical}', 0) AS cm, {between(operation)} AS ob, regexp_extract_all(cdescr, '{operation}', 0) AS om, {speeds} AS max_mph FROM odi_severity_cases), "
+        f"p AS (SELECT *, {places('c')}, {places('o')} FROM m) "
+        f"SELECT odino, coalesce(len(om) > 0, false) AS in_operation_flag, coalesce(regexp_matches(cdescr, '{highway}'), false) AS highway_flag, max_mph, coalesce(max_mph >= 55, false) AS high_speed_flag, coalesce(list_contains({close}, true), false) AS critical_event_near_operation_flag FROM p"
+    )
+
+
+_SUMMARY = "month, maketxt, modeltxt, yeartxt, topic_id, topic_label"
+_WATCH_SUMMARY = (
+    _SERIES
+    + """, de AS (SELECT tr.month, tr.maketxt, tr.modeltxt, coalesce(tr.yeartxt::VARCHAR, 'Unknown') AS yeartxt, tr.topic_id, tr.topic_label, tr.component_group, tr.odino, tr.mfr_name, tr.state, tr.topic_strength, tr.severity_broad_flag AS broad_flag, tr.severity_primary_flag AS primary_flag, w.score, w.signal_tier
+  FROM tr JOIN watch w ON tr.month = w.month AND tr.maketxt IS NOT DISTINCT FROM w.maketxt AND tr.modeltxt IS NOT DISTINCT FROM w.modeltxt AND tr.yeartxt IS NOT DISTINCT FROM w.yeartxt AND tr.topic_id = w.topic_id AND tr.component_group = w.component_group),
+fi AS (SELECT *, row_number() OVER (PARTITION BY """
+    + _SUMMARY
+    + """, odino ORDER BY score DESC, component_group) = 1 AS one FROM de)
+SELECT """
+    + _SUMMARY
+    + """, coalesce(string_agg(DISTINCT nullif(trim(mfr_name), ''), ' | ' ORDER BY nullif(trim(mfr_name), '')), '') AS mfr_name, string_agg(DISTINCT component_group, ' | ' ORDER BY component_group) AS component_groups, count(DISTINCT odino) AS complaints, count(DISTINCT state) FILTER (one) AS unique_states,
+  round(max(score), 6) AS max_component_watchlist_score, round(avg(topic_strength) FILTER (one), 6) AS avg_topic_strength, round(avg(broad_flag::INT) FILTER (one), 6) AS severity_broad_rate, round(avg(primary_flag::INT) FILTER (one), 6) AS critical_event_near_operation_rate,
+  CASE max(CASE signal_tier WHEN 'High-confidence signal' THEN 3 WHEN 'Moderate signal' THEN 2 WHEN 'Early signal' THEN 1 ELSE 0 END) WHEN 3 THEN 'High-confidence signal' WHEN 2 THEN 'Moderate signal' WHEN 1 THEN 'Early signal' ELSE 'Monitor' END AS best_signal_tier FROM fi GROUP BY """
+    + _SUMMARY
+)
+
 SQL = {
+    "cleaning_metrics": _cleaning_metrics(),
+    "context_flags": _context_flags(),
+    "watchlist_summary": _WATCH_SUMMARY,
     "clean_rows": _CLEAN + f"SELECT cmplid, odino, source_file, yeartxt, ldate, faildate, miles, veh_speed, injured, deaths, state, prod_type, lag_days_safe, source_era, {', '.join(_FLAG_NAMES)} FROM clean",
     "clean_summary": _CLEAN + f"SELECT source_era, count(*) AS n_rows, count(DISTINCT odino) AS cases, {', '.join(f'count(*) FILTER ({c}) AS {c}' for c in _FLAG_NAMES)} FROM clean GROUP BY source_era",
     "component_groups": _COMPONENTS + "SELECT a.component_group, component_drop_reason, count(*) AS n_rows, count(DISTINCT odino) AS cases, max(b.k) AS component_group_rows FROM cr a LEFT JOIN (SELECT component_group, count(*) AS k FROM kept GROUP BY 1) b ON a.component_group = b.component_group GROUP BY 1, 2",
@@ -247,3 +296,6 @@ for _name, _columns in {
     "leaderboard": ("month",), "latest_case_per_make": ("ldate",), "event_properties": ("day",),
 }.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _columns)}) FROM ({SQL[_name]}) AS dated"
+
+# the same questions over the whole cohort: make, model, year, component and topic
+SQL |= {f"{n}_full": _SERIES + SQL[n].removeprefix(_COARSE) for n in ("emerging_watchlist", "risk_monitor", "recurring_signals", "signal_flow")}
