@@ -292,10 +292,10 @@ SQL |= {
 #: Date columns leave as ISO text.
 for _name, _columns in {
     "clean_rows": ("ldate", "faildate"), "multi_cases": ("ldate",), "best_texts": ("ldate",), "text_conflicts": ("first_date", "last_date"), "split_summary": ("first_date", "last_date"), "month_mix": ("month",),
-    "cohort_growth": ("month",), "emerging_watchlist": ("month",), "risk_monitor": ("month",), "recurring_signals": ("first_month", "latest_month"), "global_topic_month": ("month",), "signal_flow": ("month",),
+    "cohort_growth": ("month",), "emerging_watchlist": ("month",), "risk_monitor": ("month",), "recurring_signals": ("first_month", "latest_month"), "global_topic_month": ("month",), "signal_flow": ("month",), "watchlist_summary": ("month",),
     "leaderboard": ("month",), "latest_case_per_make": ("ldate",), "event_properties": ("day",),
 }.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _columns)}) FROM ({SQL[_name]}) AS dated"
 
 # the same questions over the whole cohort: make, model, year, component and topic
-SQL |= {f"{n}_full": _SERIES + SQL[n].removeprefix(_COARSE) for n in ("emerging_watchlist", "risk_monitor", "recurring_signals", "signal_flow")}
+SQL |= {f"{n}_full": SQL[n].replace(_COARSE, _SERIES) for n in ("emerging_watchlist", "risk_monitor", "recurring_signals", "signal_flow")}
