@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.session import ship_package, spread
@@ -202,19 +202,19 @@ def segmenter(known: tuple[str, ...]) -> Segmenter:
 
 
 def items_udf(known: list[str]):
-    """Column function from a text to its items. ``known`` is a dictionary of bounded size (at most some thousand values)."""
-    values = tuple(sorted(set(known)))
+    """Column function from a text to its items. ``known`` is a dictionary of checked size (``known_values``), sent to each worker once."""
+    shared = SparkSession.active().sparkContext.broadcast(tuple(sorted(set(known))))
 
     @F.pandas_udf(ITEM_SCHEMA)
     def split_items(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        split = segmenter(values).items
+        split = segmenter(shared.value).items
         for series in texts:
             yield series.map(lambda t: split(t) if t is not None else [])
 
     return split_items.asNondeterministic()  # else a filter on the items is pushed below and splits every text again
 
 
-def known_values(labels: DataFrame, columns: list[str], most: int = 20_000) -> list[str]:
+def known_values(labels: DataFrame, columns: list[str], most: int = 1_000_000) -> list[str]:
     """The dictionary as a Python list; its size is checked, for it travels to every worker."""
     values = labels.select(F.explode(F.array(*columns)).alias("v")).filter("v IS NOT NULL").distinct().limit(most + 1).collect()
     if len(values) > most:

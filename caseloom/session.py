@@ -41,16 +41,21 @@ def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before work that is heavy per row, where the input has fewer splits than there are cores.
 
-    A large table has more splits than cores and passes through unchanged, without a shuffle.
+    A large table has more splits than cores and passes through unchanged, without a shuffle; so does a plan that shuffles
+    already, whose partitions are decided while it runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a private one only where that is unset and all run here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="caseloom-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
