@@ -104,3 +104,23 @@ def finite(df: DataFrame, columns: list[str]) -> None:
     names = [c for c in columns if bad[c]]
     if names:
         raise ValueError(f"not finite: {', '.join(names)}")
+
+
+def require_dates(df: DataFrame, columns: list[str]) -> None:
+    """Raises if a column that must hold dates has nulls (dates that could not be read among them)."""
+    bad = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    names = [f"{c} ({bad[c]})" for c in columns if bad[c]]
+    if names:
+        raise ValueError(f"rows without a date: {', '.join(names)}")
+
+
+def report_text(report: DataFrame, most: int = 8) -> str:
+    """The quality report as text: a line per field with its checks in order; a list is clipped after ``most`` entries."""
+    fields: dict[str, list[str]] = {}
+    for r in report.orderBy("field_name", "check_name").collect():  # a row per field and check
+        fields.setdefault(r["field_name"], []).append(f"{r['check_name']} {r['value']}")
+    lines = []
+    for name, checks in fields.items():
+        more = f", and {len(checks) - most} more" if len(checks) > most else ""
+        lines.append(f"{name}: {', '.join(checks[:most])}{more}")
+    return "\n".join(lines)
