@@ -15,10 +15,12 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.operators import matrix
 from caseloom.session import materialize
 
 INFREQUENT = "__INFREQUENT__"
 VOCABULARY_MOST = 1_000_000  # terms a vocabulary may hold on the driver and in a broadcast; cut it in ``tfidf`` beyond that
+PACKED_MOST, PACKED_BYTES = 200_000, 8_000_000  # terms, and bytes of them, that travel to the documents; beyond that they are joined
 
 
 def word_grams(text: Column, stop: list[str] = (), two: bool = True) -> Column:
@@ -41,22 +43,53 @@ def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
     return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*[grams(w, n) for n in range(least, most + 1)]))))
 
 
-def tfidf(docs: DataFrame, key: str, terms: Column, least_df: int = 1, most_share: float = 1.0, vocabulary: int | None = None, sublinear: bool = True, fit: DataFrame | None = None) -> DataFrame:
-    """(key, term, weight): smooth idf, sublinear tf, unit length per document; the vocabulary is cut by corpus count, ties by term.
+def term_documents(docs: DataFrame, key: str, terms: Column, fitted: Column | None = None) -> DataFrame:
+    """(key, fitted, source_rows, terms), a row per key, written once; rows are grouped only where a key is there twice."""
+    rows = docs.select(key, F.coalesce(fitted if fitted is not None else F.lit(True), F.lit(False)).alias("fitted"), F.lit(1).cast("long").alias("source_rows"), terms.alias("terms"))
+    if not one_row_per_key(docs, key):
+        if fitted is not None:
+            raise ValueError(f"a {key} is there twice; with a fitted part each may have one row")
+        rows = rows.groupBy(key).agg(F.lit(True).alias("fitted"), F.sum("source_rows").alias("source_rows"), F.flatten(F.collect_list("terms")).alias("terms"))
+    return materialize(rows, "term-documents")
 
-    Vocabulary and document frequencies are those of ``fit`` (all of ``docs`` if not given); documents without a fitted term have no row.
+
+def one_row_per_key(df: DataFrame, key: str) -> bool:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()
+
+
+def tfidf_matrix(docs: DataFrame, key: str, terms: Column, least_df: int = 1, most_share: float = 1.0, vocabulary: int | None = None, sublinear: bool = True, fitted: Column | None = None, pairs: bool = False) -> matrix.TermMatrix | DataFrame:
+    """Smooth idf, sublinear tf, unit length per document; the vocabulary is cut by corpus count, ties by term.
+
+    Vocabulary and document frequencies are those of the rows with ``fitted`` (all if not given); ``pairs`` makes neighbours of the
+    array terms also. A vocabulary of up to PACKED_MOST terms and PACKED_BYTES (counted) travels to the documents and gives a packed
+    matrix; beyond that the documents' terms are shuffled to theirs, which gives (key, term, weight) rows.
     """
-    count_terms = lambda df: df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = count_terms(docs)
-    total = (docs if fit is None else fit).agg(F.count(F.lit(1)).alias("n_docs"))
-    stats = (counts if fit is None else count_terms(fit)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(total))  # one-row side
-    kept = stats.filter((F.col("df") >= least_df) & (F.col("df") <= F.col("n_docs") * most_share))
+    rows = term_documents(docs, key, terms, fitted)
+    stats = materialize(matrix.term_counts(rows, pairs).filter((F.col("df") >= least_df) | F.col("term").isNull()), "term-counts")
+    n_docs = stats.filter("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    kept = stats.filter(F.col("term").isNotNull() & (F.col("df") >= least_df) & (F.col("df") <= n_docs * most_share))
     if vocabulary:
         kept = kept.orderBy(F.col("cf").desc(), "term").limit(vocabulary)
+    n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if n <= PACKED_MOST and size <= PACKED_BYTES:
+        known = kept.select("term", "df").orderBy("term").collect()
+        idf = np.log((1 + n_docs) / (1 + np.array([r["df"] for r in known], float))) + 1
+        return matrix.pack_counts(rows, key, [r["term"] for r in known], idf, sublinear, pairs)
     tf = F.log(F.col("tf").cast("double")) + 1 if sublinear else F.col("tf").cast("double")
-    weighted = counts.join(kept, "term").withColumn("w", tf * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
-    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    weighted = matrix.long_counts(rows, key, pairs).join(kept, "term").withColumn("w", tf * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1))
+    return weighted.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("weight"))
+
+
+def tfidf(docs: DataFrame, key: str, terms: Column, least_df: int = 1, most_share: float = 1.0, vocabulary: int | None = None, sublinear: bool = True) -> DataFrame:
+    """(key, term, weight) by ``tfidf_matrix``; rows of a key are one document, also those without a key, and documents without a term have no row."""
+    made = tfidf_matrix(docs, key, terms, least_df, most_share, vocabulary, sublinear)
+    return made.weights() if isinstance(made, matrix.TermMatrix) else made
+
+
+def tfidf_totals(docs: DataFrame, key: str, terms: Column, **options) -> DataFrame:
+    """(term, docs, total): documents with the term and the sum of its ``tfidf`` weights."""
+    made = tfidf_matrix(docs, key, terms, **options)
+    return made.totals() if isinstance(made, matrix.TermMatrix) else made.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("weight").alias("total"))
 
 
 def bounded_vocabulary(weights: DataFrame) -> list[str]:

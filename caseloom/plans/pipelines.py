@@ -39,13 +39,14 @@ def narrative_cache(multi: DataFrame, sidecar: DataFrame, lemmatizer: Callable[[
 def topic_model(docs: DataFrame, text: str, topics: int = 20, least_df: int = 20, iterations: int = 20) -> tuple[DataFrame, np.ndarray, list[str]]:
     """Topics of every document; terms, document frequencies and factor are fitted on the cases before the development cut.
 
-    ``docs``: odino, ldate and the text. Without a development case there is nothing to fit on, which is an error.
+    ``docs``: odino, ldate and the text, a row per case (an error if not). Without a development case there is nothing to fit on, which is an error.
     """
-    development = docs.filter(features.split_column(F.col("ldate"), "topic") == "development")
+    fitted = features.split_column(F.col("ldate"), "topic") == "development"
+    development = docs.filter(fitted)
     if development.isEmpty():
         raise ValueError("no development cases to fit topics on")
-    weights = modeling.tfidf(docs, "odino", modeling.word_grams(F.col(text), list(STOP)), least_df=least_df, most_share=0.75, vocabulary=50_000, fit=development)
-    return modeling.nmf_topics(weights, "odino", topics, iterations, fit=development)
+    weights = modeling.tfidf_matrix(docs, "odino", modeling.word_grams(F.col(text), list(STOP), two=False), least_df=least_df, most_share=0.75, vocabulary=50_000, fitted=fitted, pairs=True)
+    return modeling.nmf_topics(weights if isinstance(weights, DataFrame) else weights.weights(), "odino", topics, iterations, fit=development)
 
 
 def early_warning(spark: SparkSession, multi: DataFrame, sidecar: DataFrame, out: str, topics: int = 20, least_df: int = 20, iterations: int = 20, lemmatizer: Callable[[str], str] = str.lower) -> dict[str, DataFrame]:

@@ -314,8 +314,8 @@ def personal_strip(spark: SparkSession, sf: str) -> DataFrame:
 
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(load_table(spark, sf, "odi_severity_cases")).filter("cdescr IS NOT NULL").select("odino", F.col("cdescr").alias("text"))
-    weights = modeling.tfidf(docs, "odino", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0)), least_df=5, most_share=0.75)
-    return weights.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum("weight"), 5).alias("total_weight"))
+    totals = modeling.tfidf_totals(docs, "odino", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0)), least_df=5, most_share=0.75)
+    return totals.select("term", "docs", F.round("total", 5).alias("total_weight"))
 
 
 def topics(spark: SparkSession, sf: str) -> DataFrame:
