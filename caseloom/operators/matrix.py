@@ -1,4 +1,4 @@
-"""Documents x terms in packed blocks: counted and weighed an Arrow batch at a time.
+"""Documents x terms in packed blocks: counted, weighed and multiplied an Arrow batch at a time.
 
 A block is a row with the keys of some documents and, as bytes, the start of each document, the term numbers and the counts
 (or weights, eight bytes each). Documents without a term of the vocabulary are in no block. Null terms are no terms.
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from caseloom.session import materialize
 
 FLUSH = 200_000  # distinct terms that a task holds before it passes its counts on
+STEPS = 25  # updates of a document's topic weights for a given factor
+GATHERED = 16_384  # cells of one gathered product, so that it stays in the cache
 
 
 def _cells(lists: pa.ListArray, pairs: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -183,3 +185,114 @@ def pack_counts(docs: DataFrame, key: str, vocabulary: list[str], idf: np.ndarra
 
     blocks = docs.select(key, "fitted", "terms").mapInArrow(pack, f"keys array<{kind}>, fitted boolean, ptr binary, idx binary, val binary")
     return TermMatrix(materialize(blocks, "term-blocks"), key, kind, vocabulary, idf, sublinear)
+
+
+def pack_weights(rows: DataFrame, key: str, vocabulary: list[str]) -> TermMatrix:
+    """The matrix of (key, fitted, idx, val), a row per document with its term numbers in order and their weights."""
+    kind, m = dict(rows.dtypes)[key], len(vocabulary)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fitted in (True, False):
+                part = batch.filter(batch["fitted"] if fitted else pa.compute.invert(batch["fitted"]))
+                if part.num_rows:
+                    size, idx, val = (part["idx"].value_lengths(), part["idx"].flatten(), part["val"].flatten())
+                    yield _block(part[key], fitted, *(x.to_numpy(zero_copy_only=False) for x in (size, idx, val)), m)
+
+    blocks = rows.select(key, "fitted", "idx", "val").mapInArrow(pack, f"keys array<{kind}>, fitted boolean, ptr binary, idx binary, val binary")
+    return TermMatrix(materialize(blocks, "term-blocks"), key, kind, vocabulary)
+
+
+# --- products ---
+
+
+def product(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Sparse rows times ``dense``; rows of about equal length are gathered and multiplied together."""
+    size = np.diff(ptr)
+    out, order = np.zeros((len(size), dense.shape[1])), np.argsort(size, kind="stable")
+    ordered, at = size[order], int(np.count_nonzero(size == 0))
+    while at < len(order):
+        end = int(np.searchsorted(ordered, ordered[at] + ordered[at] // 4, "right"))
+        width = int(ordered[end - 1])
+        cols, step = np.arange(width), max(1, GATHERED // width)
+        for i in range(at, end, step):
+            rows = order[i : min(i + step, end)]
+            place = ptr[rows][:, None] + cols
+            beyond = cols >= size[rows][:, None]
+            place[beyond] = 0
+            v = val[place]
+            v[beyond] = 0.0
+            out[rows] = np.matmul(v[:, None, :], dense[idx[place]])[:, 0]
+        at = end
+    return out
+
+
+def solve(top: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Topic weights of documents by multiplicative updates; ``top``: documents times the factor."""
+    out = np.full(top.shape, 0.1)
+    for i in range(0, len(out), 512):
+        w, t = out[i : i + 512], top[i : i + 512]
+        d = np.empty_like(w)
+        for _ in range(STEPS):
+            np.matmul(w, gram, out=d)
+            np.maximum(d, 1e-12, out=d)
+            np.divide(t, d, out=d)
+            np.multiply(w, d, out=w)
+    return out
+
+
+def factor_sums(matrix: TermMatrix, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(topics x topics, topics x terms) sums over the fitted documents; tasks are added up in the cluster, range by range."""
+    context = matrix.blocks.sparkSession.sparkContext
+    shared = context.broadcast((factor, matrix.idf))
+    sublinear, (k, m), cores = matrix.sublinear, factor.shape, context.defaultParallelism
+    edges = np.linspace(0, m, min(m, 4 * cores) + 1).astype(int)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, idf = shared.value
+        across, gram = np.ascontiguousarray(h.T), h @ h.T
+        a, b = np.zeros((k, k)), np.zeros((m, k))
+        for batch in batches:
+            for cells in zip(*(batch[c].to_pylist() for c in ("ptr", "idx", "val"))):
+                ptr, idx, val = _read(*cells, idf, sublinear, m)
+                w = solve(product(ptr, idx, val, across), gram)
+                a += w.T @ w
+                order = np.argsort(idx, kind="stable")
+                terms, start = np.unique(idx[order], return_index=True)
+                doc = np.repeat(np.arange(len(w)), np.diff(ptr))[order]
+                b[terms] += product(np.append(start, len(idx)), doc, val[order], w)
+        yield from (_part(-1, a), *(_part(i, b[edges[i] : edges[i + 1]]) for i in range(len(edges) - 1)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells in zip(batch["part"].to_pylist(), batch["cells"].to_pylist()):
+                total[part] = total.get(part, 0) + np.frombuffer(cells)
+        yield from (_part(part, x) for part, x in total.items())
+
+    schema = "part int, cells binary"
+    parts = matrix.blocks.filter("fitted").select("ptr", "idx", "val").coalesce(cores).mapInArrow(sums, schema)
+    found = {r["part"]: np.frombuffer(r["cells"]) for r in parts.repartition(cores, "part").mapInArrow(add, schema).collect()}
+    shared.destroy()
+    return found[-1].reshape(k, k), np.concatenate([found[i].reshape(-1, k) for i in range(len(edges) - 1)]).T
+
+
+def _part(part: int, cells: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([part], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["part", "cells"])
+
+
+def topic_weights(matrix: TermMatrix, factor: np.ndarray) -> DataFrame:
+    """(key, topic_weights) of every document."""
+    shared = matrix.blocks.sparkSession.sparkContext.broadcast((factor, matrix.idf))
+    key, sublinear, m = matrix.key, matrix.sublinear, len(matrix.vocabulary)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, idf = shared.value
+        across, gram = np.ascontiguousarray(h.T), h @ h.T
+        for batch in batches:
+            for keys, *cells in zip(batch["keys"], *(batch[c].to_pylist() for c in ("ptr", "idx", "val"))):
+                w = solve(product(*_read(*cells, idf, sublinear, m), across), gram)
+                ends = pa.array(np.arange(0, w.size + 1, w.shape[1]), pa.int32())
+                yield pa.record_batch([keys.values, pa.ListArray.from_arrays(ends, pa.array(w.ravel()))], names=[key, "topic_weights"])
+
+    return matrix.blocks.select("keys", "ptr", "idx", "val").mapInArrow(assign, f"{key} {matrix.kind}, topic_weights array<double>")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -195,66 +194,33 @@ def fit_pipeline(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
 # --- topics: non-negative matrix factorisation ---
 
 
-def nmf_topics(weights: DataFrame, key: str, topics: int, iterations: int = 30, seed: int = 7, fit: DataFrame | None = None) -> tuple[DataFrame, np.ndarray, list[str]]:
+def nmf_topics(weights: DataFrame | matrix.TermMatrix, key: str, topics: int, iterations: int = 30, seed: int = 7, fit: DataFrame | None = None) -> tuple[DataFrame, np.ndarray, list[str]]:
     """Factors documents x terms into documents x topics and topics x terms (multiplicative updates).
 
-    Document rows stay partitioned; only the topics x terms factor (bounded by the vocabulary cut) and the topics x topics and
-    topics x terms sums of a round pass through the driver. The factor is fitted on the keys of ``fit`` (all if not given) and applied
-    to every document. Returns (key, weights array), the term factor and the vocabulary.
+    Documents stay partitioned, in packed blocks; only the topics x terms factor (bounded by the vocabulary cut) and the topics x topics and
+    topics x terms sums of a round pass through the driver. The factor is fitted on the keys of ``fit`` (all if not given; a packed
+    matrix knows its fitted documents) and applied to every document. Returns (key, weights array), the term factor and the vocabulary.
     """
-    spark = weights.sparkSession
-    vocabulary = bounded_vocabulary(weights if fit is None else weights.join(fit.select(key).distinct(), key, "left_semi"))
-    m = len(vocabulary)
-    index = spark.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
-    rows = materialize(weights.join(F.broadcast(index), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("cells")).select(key, F.col("cells.i").alias("idx"), F.col("cells.weight").alias("val")), "nmf-rows")
-    fitted = rows if fit is None else materialize(rows.join(fit.select(key).distinct(), key, "left_semi"), "nmf-fitted")
-    rng = np.random.default_rng(seed)
-    factor = rng.random((topics, m)) + 1e-3
-
-    def solve(indices: np.ndarray, values: np.ndarray, h: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        w = np.full(h.shape[0], 0.1)
-        top = h[:, indices] @ values
-        for _ in range(25):
-            w *= top / np.maximum(gram @ w, 1e-12)
-        return w
-
-    for _ in range(iterations):
-        shared = spark.sparkContext.broadcast(factor)
-
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            h = shared.value
-            gram = h @ h.T
-            a, b = np.zeros_like(gram), np.zeros_like(h)
-            for batch in batches:
-                for idx, val in zip(batch["idx"], batch["val"]):
-                    indices, values = np.asarray(idx), np.asarray(val)
-                    w = solve(indices, values, h, gram)
-                    a += np.outer(w, w)
-                    b[:, indices] += np.outer(w, values)
-            yield pd.DataFrame({"part": ["a", "b"], "cells": [a.ravel(), b.ravel()]})
-
-        # sums of the tasks are added in the cluster, position by position
-        parts = fitted.select("idx", "val").mapInPandas(sums, "part string, cells array<double>")
-        added = parts.select("part", F.posexplode("cells").alias("pos", "x")).filter("x <> 0").groupBy("part", "pos").agg(F.sum("x").alias("x")).toPandas()
-        a, b = np.zeros(topics * topics), np.zeros(topics * m)
-        for name, vector in (("a", a), ("b", b)):
-            cells = added[added["part"] == name]
-            vector[cells["pos"].to_numpy(dtype=int)] = cells["x"].to_numpy()
-        a, b = a.reshape(topics, topics), b.reshape(topics, m)
+    packed = weights if isinstance(weights, matrix.TermMatrix) else _packed(weights, key, fit)
+    spark = packed.blocks.sparkSession
+    factor = np.random.default_rng(seed).random((topics, len(packed.vocabulary))) + 1e-3
+    for i in range(iterations):
+        a, b = matrix.factor_sums(packed, factor)
         for _ in range(10):
             factor *= b / np.maximum(a @ factor, 1e-12)
         factor = np.maximum(factor, 1e-12)
-        shared.unpersist()
-    final = spark.sparkContext.broadcast(factor)
+        if i % 5 == 4:  # shuffle files of past rounds stay on disk until the driver collects its garbage
+            spark.sparkContext._jvm.System.gc()
+    return matrix.topic_weights(packed, factor), factor, packed.vocabulary
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = final.value
-        gram = h @ h.T
-        for batch in batches:
-            yield pd.DataFrame({key: batch[key], "topic_weights": [solve(np.asarray(i), np.asarray(v), h, gram) for i, v in zip(batch["idx"], batch["val"])]})
 
-    kind = dict(rows.dtypes)[key]
-    return rows.mapInPandas(assign, f"{key} {kind}, topic_weights array<double>"), factor, vocabulary
+def _packed(weights: DataFrame, key: str, fit: DataFrame | None) -> matrix.TermMatrix:
+    spark = weights.sparkSession
+    vocabulary = bounded_vocabulary(weights if fit is None else weights.join(fit.select(key).distinct(), key, "left_semi"))
+    index = spark.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
+    rows = weights.join(F.broadcast(index), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("cells")).select(key, F.col("cells.i").alias("idx"), F.col("cells.weight").alias("val"))
+    known = rows.withColumn("fitted", F.lit(True)) if fit is None else rows.join(fit.select(key, F.lit(True).alias("fitted")).distinct(), key, "left").withColumn("fitted", F.coalesce("fitted", F.lit(False)))
+    return matrix.pack_weights(known, key, vocabulary)
 
 
 def topic_rows(weights: DataFrame, key: str, strong: float = 0.20) -> DataFrame:

@@ -320,7 +320,9 @@ def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def topics(spark: SparkSession, sf: str) -> DataFrame:
     """The topics of the early-warning pipeline with its parameters, over uncleaned narratives."""
-    docs = load_table(spark, sf, "odi_severity_cases").filter("cdescr IS NOT NULL").select("odino", "ldate", F.col("cdescr").alias("text")).dropDuplicates(["odino"])
+    docs = spread(load_table(spark, sf, "odi_severity_cases")).filter("cdescr IS NOT NULL").select("odino", "ldate", F.col("cdescr").alias("text"))
+    if not modeling.one_row_per_key(docs, "odino"):
+        docs = docs.dropDuplicates(["odino"])
     doc_topics, _, _ = pipelines.topic_model(docs, "text")
     return modeling.topic_rows(doc_topics, "odino").groupBy("topic_id").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg("topic_strength"), 6).alias("avg_strength"), F.count_if("strong_topic_flag").alias("strong"))
 
